@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import U64, Words, chunks, drop_table, materialize, mix64, shingles
+from linkforge.llm.common import U64, Words, chunks, materialize, mix64, shingles
 from linkforge.llm.components import components
 
 REGISTERS, ROWS = 64, 4
@@ -80,83 +80,128 @@ def similarity(a: list[str | None], b: list[str | None]) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), 0.0)
 
 
-def _verified(batches):
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        sizes = [(x or "") + (y or "") for x, y in zip(a, b, strict=True)]
-        for s, e in chunks(sizes):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(similarity(a[s:e], b[s:e]))], names=["a", "b", "similarity"])
+def differences(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """Band keys (of 2 registers each) of the symmetric difference of the shingle multisets of a[i] and b[i]."""
+    n = len(a)
+    text, element, count = shingles(Words([*a, *b]))
+    pair, side = text % n, text >= n
+    key = (pair.astype(U64) << U64(48)) | element
+    order = np.argsort(key, kind="stable")
+    key, pair, element, signed = key[order], pair[order], element[order], np.where(side, -count, count)[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
+    over = np.add.reduceat(signed, heads) if len(heads) else signed
+    pair, element = pair[heads], element[heads]
+    # What only the leader has is another element than what only the document has.
+    element = np.where(over < 0, mix64(element) >> U64(16), element)
+    left = over != 0
+    sig = signatures(pair[left], element[left], np.abs(over[left]), n).reshape(n, REGISTERS // 2, 2)
+    return mix64(sig[:, :, 0] ^ mix64(sig[:, :, 1]))
+
+
+def _verified():
+    """(a, b, similarity, bands) of (a, b, central, text_a, text_b); bands of their difference for central leaders."""
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            central = batch.column(2).to_pylist()
+            sizes = [(x or "") + (y or "") for x, y in zip(a, b, strict=True)]
+            for s, e in chunks(sizes):
+                same = similarity(a[s:e], b[s:e])
+                bands: list = [None] * (e - s)
+                apart = [i for i in range(e - s) if central[s + i] and same[i] < 1]
+                if apart:
+                    for i, keys in zip(apart, differences([a[s + i] for i in apart], [b[s + i] for i in apart]), strict=True):
+                        bands[i] = keys.view(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), pa.array(same), pa.array(bands, pa.list_(pa.int64()))], names=["a", "b", "similarity", "bands"])
+    return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs(a, b) by exact multiset overlap of the texts(doc_id, text)."""
+    """(a, b, similarity, bands) of pairs(a, b, central) by exact multiset overlap of the texts(doc_id, text)."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "a long, b long, similarity double")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "central", "text_a", "text_b")
+    return both.mapInArrow(_verified(), "a long, b long, similarity double, bands array<long>")
+
+
+def _several(rows: DataFrame, of: str = "doc_id") -> DataFrame:
+    """The rows(key, doc_id) of keys that hold two values of a column or more."""
+    keys = rows.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x < y").select("key")
+    return rows.join(keys, "key").select("key", "doc_id")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 6) -> DataFrame:
+def _leaders(rows: DataFrame) -> DataFrame:
+    """(key, central, other) of rows(key, doc_id): the document with the most company over all its keys, and a random one."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    company = rows.join(sizes, "key").groupBy("doc_id").agg(F.sum("n").alias("company"))
+    ranked = rows.join(company, "doc_id")
+    best = F.min_by("doc_id", F.struct(-F.col("company"), F.col("doc_id"))).alias("central")
+    return ranked.groupBy("key").agg(best, F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("other"))
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
     """(doc_id, class_id, same, is_copy) for every row of docs(doc_id, text, ...): near-duplicate classes.
 
     Texts link when the weighted Jaccard similarity of their 5-word shingle multisets is at least
     ``threshold``; a class is a connected set of links, named by its smallest doc_id; is_copy marks all
-    but that document; same is the SHA-256 of the text. Exact copies fold into their smallest doc_id before anything else. Signatures
-    band into 16 keys of 4 registers (a pair at 0.8 shares a key with probability 0.9998).
-
-    Inside one key's bucket the documents are compared with a leader, the smallest id, never all with
-    all; those that the leader does not hold go on to the next round with a leader of their own. After
-    ``rounds`` rounds the links make components, and only documents of one bucket that are still in
-    different components are paired for a last exact check, so a link between two leaders' followers
-    is not lost.
+    but that document; same is the SHA-256 of the text. Exact copies fold into their smallest doc_id
+    before anything else. Signatures band into 16 keys of 4 registers (a pair at 0.8 shares a key with
+    probability 0.9998).
+
+    Inside a key's bucket the documents are compared with two leaders, the one with the most company in
+    all its buckets and a random one, never all with all. Two documents that both fail a leader L can
+    only be similar if their symmetric differences to L overlap (in more than a ninth of L). So where a
+    leader does not hold its whole bucket, the documents go on to new buckets: by L and the bands, of 2
+    registers, of a signature of that difference, as far as a bucket has two components. A large family
+    of texts that are all somewhat alike thus falls apart into small buckets. What is left after
+    ``rounds`` rounds is compared pair by pair inside its bucket.
 
     Null, empty and blank texts have no shingle: each such row is a class of its own. Texts of fewer
-    than 5 words have one shingle, all their words. Of a doc_id with several texts the
-    smallest text is verified, and each row takes the class of its own text.
-    Other columns are ignored; an empty table gives an empty one.
+    than 5 words have one shingle, all their words. Of a doc_id with several texts the smallest text is
+    verified, and each row takes the class of its own text. Other columns are ignored; an empty table
+    gives an empty one.
     """
     base = docs.select("doc_id", "text")
     keyed = base.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("same"))
     sig = materialize(keyed.mapInArrow(_bands, "doc_id long, same binary, bands array<long>"), "bands")
-    first = sig.where("size(bands) > 0").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
-    keys = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    open_rows = materialize(keys.join(shared.select("band", "key"), ["band", "key"]).select("band", "key", "doc_id"), "open")
-    all_open, held = open_rows, None
-    texts = materialize(base.join(all_open.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = None
-    for n in range(rounds):
-        leaders = open_rows.groupBy("band", "key").agg(F.min("doc_id").alias("leader"))
-        led = materialize(open_rows.join(leaders, ["band", "key"]).where("doc_id > leader"), "led")
-        pairs = led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = materialize(verify(pairs, texts), "found")
+    first = sig.where("size(bands) > 0 and doc_id is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
+    keys = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id")
+    open_rows = materialize(_several(keys), "open")
+    texts = materialize(base.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    links, known = None, None
+    for n in range(rounds + 1):
+        if n < rounds:
+            led = open_rows.join(_leaders(open_rows), "key")
+            pairs = led.select(F.col("central").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("central"))
+            # A quarter of the buckets, by hash, also try their random leader.
+            pairs = pairs.union(led.where("key % 4 = 0").select("other", "doc_id", F.lit(False)))
+        else:
+            other = open_rows.select("key", F.col("doc_id").alias("a"))
+            pairs = other.join(open_rows, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(False).alias("central"))
+        pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.max("central").alias("central"))
+        found = materialize(verify(pairs, texts), f"found{n}")
         good = found.where(F.col("similarity") >= threshold).select("a", "b")
         links = good if links is None else links.union(good)
-        left = led.join(good, (F.col("leader") == F.col("a")) & (F.col("doc_id") == F.col("b")), "left_anti").select("band", "key", "doc_id")
-        several = left.groupBy("band", "key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
-        open_rows = materialize(left.join(several.select("band", "key"), ["band", "key"]), "open")
-        if n == 0:
-            held = materialize(left.select("band", "key").distinct(), "mixed")
+        if n == rounds or good.limit(1).count():
+            known = components(links)
+        if n == rounds:
+            break
+        of = known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("class"))
+        tried = found.where("bands is not null").join(of.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b", "left")
+        tried = materialize(tried.select("a", "b", "bands", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b")), "tried")
+        # Leaders that hold all of their bucket are done; of the others the held ones go on too, as links may lead from them.
+        split = tried.where("class_a <> class_b").select("a").distinct()
+        again = tried.join(split, "a").select("a", F.col("b").alias("doc_id"), "class_b", F.posexplode("bands").alias("band", "key"))
+        open_rows = materialize(_several(again.select(F.xxhash64("a", "band", "key").alias("key"), "doc_id", "class_b"), "class_b"), "open")
         if open_rows.limit(1).count() == 0:
             break
-    node = components(links)
-    # Buckets where some document failed its leader: pair what is still apart, one check for each pair.
-    apart = all_open.join(held, ["band", "key"]).join(node.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    apart = apart.withColumn("class", F.coalesce("class", "doc_id"))
-    mixed = apart.groupBy("band", "key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x < y")
-    apart = materialize(apart.join(mixed.select("band", "key"), ["band", "key"]), "apart")
-    if apart.limit(1).count():
-        one, two = apart.alias("p"), apart.alias("q")
-        pairs = one.join(two, (F.col("p.band") == F.col("q.band")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.class") != F.col("q.class")))
-        pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
-        more = materialize(verify(pairs, texts).where(F.col("similarity") >= threshold).select("a", "b"), "found")
-        if more.limit(1).count():
-            node = components(links.union(more))
+    if known is None:
+        known = components(links)
     reps = first.select("same", F.col("doc_id").alias("rep"))
-    named = reps.join(node.select(F.col("node").alias("rep"), "class"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class_id"))
+    named = reps.join(known.select(F.col("node").alias("rep"), "class"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class_id"))
     out = sig.select("doc_id", "same", F.size("bands").alias("n")).join(named, "same", "left")
-    out = out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "same")
-    return out.withColumn("is_copy", F.col("doc_id") != F.col("class_id"))
+    out = out.select("doc_id", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "same")
+    return out.withColumn("is_copy", F.coalesce(F.col("doc_id") != F.col("class_id"), F.lit(False)))
 
 
 def drop_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
