@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import WORD, materialize
+from linkforge.llm.common import WORD, materialize, partitions
 
 ROUNDS = 24
 #: Sources up to this many rows are broadcast (about 100 bytes a row); more are joined by shuffle.
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     n_shards = max(1, round(n_slots / shard_slots))
     step = 4096
     dealt = s.where("slots > 0").withColumn("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long"))))
-    dealt = dealt.repartition(F.col("src"), F.col("head")).withColumn("at", F.explode(F.sequence(F.col("head"), F.least(F.col("head") + step, F.col("slots")) - 1)))
+    # A fixed number of partitions: the few heads would else be merged into one task before they unfold.
+    dealt = dealt.repartition(max(partitions(spark), n_slots // 100_000), F.col("src"), F.col("head")).withColumn("at", F.explode(F.sequence(F.col("head"), F.least(F.col("head") + step, F.col("slots")) - 1)))
     dealt = dealt.withColumn("pass", F.floor(F.col("at") / F.col("blocks"))).withColumn("k", F.col("at") % F.col("blocks"))
     key = [F.lit(seed), F.col("src"), F.col("pass")]
     taken = dealt.select(
@@ -111,7 +112,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
         F.when(F.col("pass") < F.col("passes"), block).otherwise(F.least(block, F.col("rest") - F.col("k") * block)).alias("take"),
         F.pmod(F.xxhash64(F.lit(seed + 1), "src", "at"), F.lit(n_shards)).alias("shard"),
     )
-    met = parts.join(taken, ["src", "block"])
+    met = parts.hint("merge").join(taken.hint("merge"), ["src", "block"])
     start = F.greatest(F.col("off"), F.col("block") * block)
     stop = F.least(F.col("off") + F.col("size"), F.col("block") * block + F.col("take"))
     pieces = met.select("doc_id", "row_hash", "row_no", "src", "pass", "shard", F.col("at").alias("slot"), (start - F.col("off")).alias("first"), (stop - start).alias("words")).where("words > 0")
