@@ -16,6 +16,8 @@ WINDOW = 50
 BLOCK = 25
 #: Entries that a bucket task gathers before it compacts them.
 GATHER = 1_000_000
+#: A document's hits come back in a row from each bucket that has some; few buckets would hide how many that are at scale.
+LEAST_BUCKETS = 128
 _ENTRIES = "bucket int, docs binary, counts binary, keys binary, marks binary"
 
 
@@ -236,7 +238,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null doc_id neither lose words nor make others lose any. Other columns are ignored; empty: empty.
     """
     spark = docs.sparkSession
-    buckets = min(1 << 20, max(16, 2 * partitions(spark)))
+    buckets = min(1 << 20, max(LEAST_BUCKETS, partitions(spark)))
     base = docs.select("doc_id", "text")
     known = base.where("doc_id is not null")
     hits = _dealt(known.mapInArrow(_probes(buckets), _ENTRIES), buckets, _shared, "<u4")
