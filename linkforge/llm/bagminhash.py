@@ -11,6 +11,8 @@ from linkforge.llm.common import U64, Words, chunks, materialize, mix64, shingle
 from linkforge.llm.components import components
 
 REGISTERS, ROWS = 64, 4
+#: Random members of a component that stand for it in a bucket.
+SALTS = 8
 _TO_UNIT = 2.0**-53
 
 
@@ -81,7 +83,7 @@ def similarity(a: list[str | None], b: list[str | None]) -> np.ndarray:
 
 
 def differences(a: list[str | None], b: list[str | None]) -> np.ndarray:
-    """Band keys (of 2 registers each) of the symmetric difference of the shingle multisets of a[i] and b[i]."""
+    """Band keys (of 3 registers each) of the symmetric difference of the shingle multisets of a[i] and b[i]."""
     n = len(a)
     text, element, count = shingles(Words([*a, *b]))
     pair, side = text % n, text >= n
@@ -94,8 +96,8 @@ def differences(a: list[str | None], b: list[str | None]) -> np.ndarray:
     # What only the leader has is another element than what only the document has.
     element = np.where(over < 0, mix64(element) >> U64(16), element)
     left = over != 0
-    sig = signatures(pair[left], element[left], np.abs(over[left]), n).reshape(n, REGISTERS // 2, 2)
-    return mix64(sig[:, :, 0] ^ mix64(sig[:, :, 1]))
+    sig = signatures(pair[left], element[left], np.abs(over[left]), n, 48).reshape(n, 16, 3)
+    return mix64(sig[:, :, 0] ^ mix64(sig[:, :, 1] ^ mix64(sig[:, :, 2])))
 
 
 def _verified():
@@ -124,12 +126,28 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified(), "a long, b long, similarity double, bands array<long>")
 
 
-def _several(rows: DataFrame, of: str = "doc_id") -> DataFrame:
-    """The rows(key, doc_id) of keys that hold two values of a column or more."""
-    keys = rows.groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x < y").select("key")
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows(key, doc_id) of keys that hold two documents or more."""
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     return rows.join(keys, "key").select("key", "doc_id")
 
 
+def _split(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """(key, class, n, reps) of the keys of rows(key, doc_id) that hold two classes of of(node, class) or more.
+
+    reps are SALTS random documents of the class in the bucket, each its minimum under another hash.
+    """
+    named = rows.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    reps = F.array(*[F.min_by("doc_id", F.xxhash64("key", "doc_id", F.lit(i))) for i in range(SALTS)])
+    cells = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), reps.alias("reps"))
+    return _mixed(cells)
+
+
+def _mixed(cells: DataFrame) -> DataFrame:
+    keys = cells.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max_by("reps", F.struct("n", "class")).alias("center"), F.max_by("class", F.struct("n", "class")).alias("main")).where("x < y")
+    return cells.join(keys.select("key", "center", "main"), "key")
+
+
 def _leaders(rows: DataFrame) -> DataFrame:
     """(key, central, other) of rows(key, doc_id): the document with the most company over all its keys, and a random one."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -139,7 +157,7 @@ def _leaders(rows: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(best, F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("other"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFrame:
     """(doc_id, class_id, same, is_copy) for every row of docs(doc_id, text, ...): near-duplicate classes.
 
     Texts link when the weighted Jaccard similarity of their 5-word shingle multisets is at least
@@ -149,12 +167,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFra
     probability 0.9998).
 
     Inside a key's bucket the documents are compared with two leaders, the one with the most company in
-    all its buckets and a random one, never all with all. Two documents that both fail a leader L can
-    only be similar if their symmetric differences to L overlap (in more than a ninth of L). So where a
-    leader does not hold its whole bucket, the documents go on to new buckets: by L and the bands, of 2
-    registers, of a signature of that difference, as far as a bucket has two components. A large family
-    of texts that are all somewhat alike thus falls apart into small buckets. What is left after
-    ``rounds`` rounds is compared pair by pair inside its bucket.
+    all its buckets and, in a quarter of the buckets, a random one; never all with all. Two documents
+    that both fail a leader L can only be similar if their symmetric differences to L overlap (in more
+    than a ninth of L). So where a leader does not hold its whole bucket, finer buckets are made by L
+    and the bands, of 3 registers, of a signature of that difference: a large family of texts that are
+    all somewhat alike falls apart. In every bucket, old or finer, that still holds several components,
+    random members of each are then compared with random members of the largest, ``rounds`` times.
 
     Null, empty and blank texts have no shingle: each such row is a class of its own. Texts of fewer
     than 5 words have one shingle, all their words. Of a doc_id with several texts the smallest text is
@@ -166,37 +184,38 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 4) -> DataFra
     sig = materialize(keyed.mapInArrow(_bands, "doc_id long, same binary, bands array<long>"), "bands")
     first = sig.where("size(bands) > 0 and doc_id is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
     keys = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id")
-    open_rows = materialize(_several(keys), "open")
-    texts = materialize(base.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links, known = None, None
-    for n in range(rounds + 1):
-        if n < rounds:
-            led = open_rows.join(_leaders(open_rows), "key")
-            pairs = led.select(F.col("central").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("central"))
-            # A quarter of the buckets, by hash, also try their random leader.
-            pairs = pairs.union(led.where("key % 4 = 0").select("other", "doc_id", F.lit(False)))
-        else:
-            other = open_rows.select("key", F.col("doc_id").alias("a"))
-            pairs = other.join(open_rows, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(False).alias("central"))
-        pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.max("central").alias("central"))
-        found = materialize(verify(pairs, texts), f"found{n}")
-        good = found.where(F.col("similarity") >= threshold).select("a", "b")
-        links = good if links is None else links.union(good)
-        if n == rounds or good.limit(1).count():
-            known = components(links)
-        if n == rounds:
-            break
-        of = known if known is not None else links.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        tried = found.where("bands is not null").join(of.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b", "left")
-        tried = materialize(tried.select("a", "b", "bands", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b")), "tried")
-        # Leaders that hold all of their bucket are done; of the others the held ones go on too, as links may lead from them.
-        split = tried.where("class_a <> class_b").select("a").distinct()
-        again = tried.join(split, "a").select("a", F.col("b").alias("doc_id"), "class_b", F.posexplode("bands").alias("band", "key"))
-        open_rows = materialize(_several(again.select(F.xxhash64("a", "band", "key").alias("key"), "doc_id", "class_b"), "class_b"), "open")
-        if open_rows.limit(1).count() == 0:
-            break
-    if known is None:
-        known = components(links)
+    rows = materialize(_several(keys), "open")
+    texts = materialize(base.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+    led = rows.join(_leaders(rows), "key")
+    pairs = led.select(F.col("central").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("central"))
+    pairs = pairs.union(led.where("key % 4 = 0").select("other", "doc_id", F.lit(False)))
+    found = materialize(verify(pairs.where("a <> b").groupBy("a", "b").agg(F.max("central").alias("central")), texts), "found")
+    known = components(found.where(F.col("similarity") >= threshold).select("a", "b"))
+
+    tried = found.where("bands is not null").join(known.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b", "left")
+    tried = materialize(tried.select("a", "b", "bands", (F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).alias("apart")), "tried")
+    # A leader that holds all of its buckets is done; from the others the held documents go on too, as links may lead from them.
+    again = tried.join(tried.where("apart").select("a").distinct(), "a").select("a", F.col("b").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
+    finer = again.select(F.xxhash64("a", "band", "key").alias("key"), "doc_id")
+    cells = materialize(_split(rows, known).unionByName(_split(finer, known)), "cells")
+    for n in range(rounds):
+        half = F.slice("reps", 1 + n * SALTS // rounds, SALTS // rounds)
+        other = F.slice("center", 1 + n * SALTS // rounds, SALTS // rounds)
+        pairs = cells.where(F.col("class") != F.col("main")).select(F.explode(F.arrays_zip(half.alias("a"), other.alias("b"))).alias("p"))
+        pairs = pairs.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+        more = materialize(verify(pairs.withColumn("central", F.lit(False)), texts).where(F.col("similarity") >= threshold).select("a", "b"), "more")
+        if more.limit(1).count() == 0:
+            continue
+        joined = more
+        for end in ("a", "b"):
+            joined = joined.join(known.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
+        merged = components(joined.select("a", "b")).select(F.col("node").alias("class"), F.col("class").alias("to"))
+        alone = merged.join(known, merged["class"] == known["node"], "left_anti").select(F.col("class").alias("node"), F.col("to").alias("class"))
+        known = materialize(known.join(merged, "class", "left").select("node", F.coalesce("to", "class").alias("class")).unionByName(alone), "known")
+        if n + 1 < rounds:
+            moved = cells.join(merged, "class", "left").withColumn("class", F.coalesce("to", "class")).groupBy("key", "class").agg(F.sum("n").alias("n"), F.max_by("reps", "n").alias("reps"))
+            cells = materialize(_mixed(moved), "cells")
     reps = first.select("same", F.col("doc_id").alias("rep"))
     named = reps.join(known.select(F.col("node").alias("rep"), "class"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class_id"))
     out = sig.select("doc_id", "same", F.size("bands").alias("n")).join(named, "same", "left")
