@@ -33,7 +33,8 @@ def lexicon(docs: DataFrame, most: float = MOST_SHARE, least: float = LEAST_SHAR
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    return docs.select(F.floor(F.col("doc_id") / BLOCK).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))
+    return docs.select(block.alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _under(rows: DataFrame, words: DataFrame) -> DataFrame:
@@ -59,17 +60,20 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def subset_hashes(found: Column, text: Column) -> Column:
+def whole_hash(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
+def subset_hashes(found: Column, whole: Column) -> Column:
     """Array of one hash per lexicon subset over the sorted lexicon terms ``found``; 0 where a subset holds none.
 
-    A text with no lexicon term at all has the hash of the text itself in every place.
+    A text with no lexicon term at all has the hash of the text itself, ``whole``, in every place.
     """
     def one(width: int, seed: int) -> Column:
         kept = F.filter(found, lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(seed)), 64 - width) == 0)
         return F.when(F.size(kept) > 0, F.xxhash64(kept, F.lit(seed))).otherwise(F.lit(0).cast("long"))
 
     subsets = [(w, 1000 * w + s) for w in WIDTHS for s in range(SEEDS)]
-    whole = F.when(F.length(text) > 0, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
     return F.when(F.size(found) > 0, F.array(*[one(w, s) for w, s in subsets])).otherwise(F.array_repeat(whole, len(subsets)))
 
 
@@ -96,7 +100,7 @@ def fingerprints(docs: DataFrame, text: str = "text", known: DataFrame | None =
     rows = docs.withColumn("_row", F.struct(F.xxhash64(text), F.md5(F.coalesce(F.col(text), F.lit("")))))
     hits = rows.select("_row", F.col(text).alias("_t")).dropDuplicates(["_row"]).select("_row", F.explode(terms(F.col("_t"))).alias("term")).join(words, "term").groupBy("_row").agg(F.array_sort(F.collect_list("term")).alias("_found"))
     out = rows.join(hits, "_row", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<long>")))
-    out = out.withColumn("subsets", subset_hashes(F.col("_found"), F.coalesce(F.col(text), F.lit(""))))
+    out = out.withColumn("subsets", subset_hashes(F.col("_found"), whole_hash(F.coalesce(F.col(text), F.lit("")))))
     return out.withColumn("fingerprint", spelled(F.col("subsets"))).drop("_row", "_found")
 
 
@@ -122,24 +126,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     under = _under(rows, words)
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc(), F.col("text").desc())
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    rows = rows.join(under, rows["block"].eqNullSafe(under["block"])).drop(under["block"])
+    rows = rows.join(under, "block")
     rows = rows.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", "under_text")))
 
-    # Term 0 stands in every document, so that each keeps a row.
+    # Term 0 stands in every text, so that each keeps a row; that row alone carries what else is needed of the text.
     known = _broadcast(words.union(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    each = rows.select("block", "place", both.alias("k")).select("block", "place", "k.kind", F.explode(F.array_append(terms(F.col("k.t")), F.lit(0).cast("long"))).alias("term"))
-    met = each.join(known, "term")
-    found = met.groupBy("block", "place", "kind").agg(F.array_sort(F.collect_list(F.nullif(F.col("term"), F.lit(0).cast("long")))).alias("found"))
-    found = found.groupBy("block", "place").agg(F.max(F.when(F.col("kind") == 0, F.col("found"))).alias("found"), F.max(F.when(F.col("kind") == 1, F.col("found"))).alias("found_edited"))
-    out = rows.join(found.withColumnRenamed("block", "fb").withColumnRenamed("place", "fp"), rows["block"].eqNullSafe(F.col("fb")) & (F.col("place") == F.col("fp")))
-    out = out.select(
-        "block", "doc_id", "place", "under_subsets",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        subset_hashes(F.col("found"), F.col("text")).alias("own"),
-        subset_hashes(F.col("found_edited"), F.col("edited")).alias("changed"),
-    )
+    two = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
+    each = rows.select("block", "place", "doc_id", "under_subsets", two.alias("k")).select("block", "place", "doc_id", "under_subsets", "k.kind", "k.t")
+    load = F.struct("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha"), whole_hash(F.col("t")).alias("whole"), "under_subsets")
+    none = F.when(F.lit(False), load)
+    marked = F.array_append(F.transform(terms(F.col("t")), lambda x: F.struct(x.alias("term"), none.alias("load"))), F.struct(F.lit(0).cast("long").alias("term"), load.alias("load")))
+    long = each.select("block", "place", "kind", F.explode(marked).alias("m")).select("block", "place", "kind", "m.term", "m.load")
+    met = long.join(known, "term")
+    listed = F.array_sort(F.collect_list(F.nullif(F.col("term"), F.lit(0).cast("long"))))
+    found = met.groupBy("block", "place", "kind").agg(listed.alias("found"), F.first("load", ignorenulls=True).alias("load"))
+    found = found.select("block", "place", "kind", F.struct("load", subset_hashes(F.col("found"), F.col("load.whole")).alias("subsets")).alias("x"))
+    both = found.groupBy("block", "place").agg(F.first(F.when(F.col("kind") == 0, F.col("x")), ignorenulls=True).alias("a"), F.first(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).alias("b"))
+    out = both.select("block", "place", "a.load.doc_id", "a.load.n_chars", "a.load.under_subsets", F.col("a.subsets").alias("own"), F.col("b.subsets").alias("changed"), F.col("b.load.sha").alias("edited_sha256"))
     after = F.lead("own").over(Window.partitionBy("block").orderBy("place"))
     out = out.withColumn("after", F.coalesce(after, "under_subsets"))
     return out.select(
