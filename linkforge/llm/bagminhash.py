@@ -12,7 +12,7 @@ from linkforge.llm.components import components
 
 REGISTERS, ROWS = 64, 4
 #: Random members of a component that stand for it in a bucket.
-SALTS = 8
+SALTS = 4
 _TO_UNIT = 2.0**-53
 
 
