@@ -184,7 +184,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFra
     sig = materialize(keyed.mapInArrow(_bands, "doc_id long, same binary, bands array<long>"), "bands")
     first = sig.where("size(bands) > 0 and doc_id is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
     keys = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id")
-    rows = materialize(_several(keys), "open")
+    rows = materialize(_several(keys), "open", narrow=True)
     texts = materialize(base.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     led = rows.join(_leaders(rows), "key")
@@ -194,17 +194,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFra
     known = components(found.where(F.col("similarity") >= threshold).select("a", "b"))
 
     tried = found.where("bands is not null").join(known.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b", "left")
-    tried = materialize(tried.select("a", "b", "bands", (F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).alias("apart")), "tried")
+    tried = materialize(tried.select("a", "b", "bands", (F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).alias("apart")), "tried", narrow=True)
     # A leader that holds all of its buckets is done; from the others the held documents go on too, as links may lead from them.
     again = tried.join(tried.where("apart").select("a").distinct(), "a").select("a", F.col("b").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
     finer = again.select(F.xxhash64("a", "band", "key").alias("key"), "doc_id")
-    cells = materialize(_split(rows, known).unionByName(_split(finer, known)), "cells")
+    cells = materialize(_split(rows, known).unionByName(_split(finer, known)), "cells", narrow=True)
     for n in range(rounds):
         half = F.slice("reps", 1 + n * SALTS // rounds, SALTS // rounds)
         other = F.slice("center", 1 + n * SALTS // rounds, SALTS // rounds)
         pairs = cells.where(F.col("class") != F.col("main")).select(F.explode(F.arrays_zip(half.alias("a"), other.alias("b"))).alias("p"))
         pairs = pairs.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
-        more = materialize(verify(pairs.withColumn("central", F.lit(False)), texts).where(F.col("similarity") >= threshold).select("a", "b"), "more")
+        more = materialize(verify(pairs.withColumn("central", F.lit(False)), texts).where(F.col("similarity") >= threshold).select("a", "b"), "more", narrow=True)
         if more.limit(1).count() == 0:
             continue
         joined = more
@@ -212,10 +212,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFra
             joined = joined.join(known.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("class", end)).drop("class")
         merged = components(joined.select("a", "b")).select(F.col("node").alias("class"), F.col("class").alias("to"))
         alone = merged.join(known, merged["class"] == known["node"], "left_anti").select(F.col("class").alias("node"), F.col("to").alias("class"))
-        known = materialize(known.join(merged, "class", "left").select("node", F.coalesce("to", "class").alias("class")).unionByName(alone), "known")
+        known = materialize(known.join(merged, "class", "left").select("node", F.coalesce("to", "class").alias("class")).unionByName(alone), "known", narrow=True)
         if n + 1 < rounds:
             moved = cells.join(merged, "class", "left").withColumn("class", F.coalesce("to", "class")).groupBy("key", "class").agg(F.sum("n").alias("n"), F.max_by("reps", "n").alias("reps"))
-            cells = materialize(_mixed(moved), "cells")
+            cells = materialize(_mixed(moved), "cells", narrow=True)
     reps = first.select("same", F.col("doc_id").alias("rep"))
     named = reps.join(known.select(F.col("node").alias("rep"), "class"), "rep", "left").select("same", F.coalesce("class", "rep").alias("class_id"))
     out = sig.select("doc_id", "same", F.size("bands").alias("n")).join(named, "same", "left")

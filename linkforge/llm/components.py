@@ -17,19 +17,24 @@ def components(links: DataFrame) -> DataFrame:
     gives an empty one.
     """
     both = links.where("a is not null and b is not null")
-    both = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "links", narrow=True)
+    labels = materialize(_step(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), both), "labels", narrow=True)
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-        low = labels.union(heard).groupBy("node").agg(F.min("label").alias("label"))
-        # The least label seen at a node is also told to the node's old label, so whole chains hook at once.
-        told = low.alias("l").join(labels.alias("o"), "node").select(F.col("o.label").alias("node"), F.col("l.label").alias("label"))
-        low = low.union(told).groupBy("node").agg(F.min("label").alias("label"))
-        jump = low.join(low.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
-        new = materialize(jump.select("node", F.least("label", "up").alias("label")), "labels")
+        new = materialize(_step(_step(labels, both), both), "labels", narrow=True)
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         drop_table(labels)
         labels = new
         if not changed:
             drop_table(both)
             return labels.withColumnRenamed("label", "class")
+
+
+def _step(labels: DataFrame, both: DataFrame) -> DataFrame:
+    """labels(node, label) after one round over both(a, b), the links in both directions."""
+    heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
+    low = labels.union(heard).groupBy("node").agg(F.min("label").alias("label"))
+    # The least label seen at a node is also told to the node's old label, so whole chains hook at once.
+    told = low.alias("l").join(labels.alias("o"), "node").select(F.col("o.label").alias("node"), F.col("l.label").alias("label"))
+    low = low.union(told).groupBy("node").agg(F.min("label").alias("label"))
+    jump = low.join(low.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
+    return jump.select("node", F.least("label", "up").alias("label"))
