@@ -185,7 +185,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFra
     first = sig.where("size(bands) > 0 and doc_id is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("doc_id"))
     keys = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id")
     rows = materialize(_several(keys), "open", narrow=True)
-    texts = materialize(base.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(base.hint("merge").join(rows.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
 
     led = rows.join(_leaders(rows), "key")
     pairs = led.select(F.col("central").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("central"))
