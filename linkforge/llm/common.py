@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``narrow`` is for rows of a few numbers: an eighth of the files, as they hold that much less.
+    ``narrow`` is for rows of a few numbers: they are gathered in an eighth of the files.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(1, partitions(spark) // 8))
+        df = df.repartition(max(1, partitions(spark) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, text: str = "text", known: DataFrame | None =
     those in each of 32 randomised lexicon subsets. Equal texts have equal fingerprints. Null and empty
     texts have subsets of zeros. Empty: empty; other columns pass through.
     """
-    words = _broadcast(known if known is not None else materialize(lexicon(docs.select(F.col(text).alias("text"))), "lexicon"))
+    words = _broadcast(known if known is not None else materialize(lexicon(docs.select(F.col(text).alias("text"))), "lexicon", narrow=True))
     rows = docs.withColumn("_row", F.struct(F.xxhash64(text), F.md5(F.coalesce(F.col(text), F.lit("")))))
     hits = rows.select("_row", F.col(text).alias("_t")).dropDuplicates(["_row"]).select("_row", F.explode(terms(F.col("_t"))).alias("term")).join(words, "term").groupBy("_row").agg(F.array_sort(F.collect_list("term")).alias("_found"))
     out = rows.join(hits, "_row", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<long>")))
@@ -121,7 +121,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     each block is carried to the next block. Texts move once, to their block; there the terms meet the
     lexicon, which is broadcast, and their document again without another shuffle.
     """
-    words = materialize(lexicon(docs), "lexicon")
+    words = materialize(lexicon(docs), "lexicon", narrow=True)
     rows = _blocks(docs)
     under = _under(rows, words)
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc(), F.col("text").desc())

@@ -80,8 +80,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     spark = docs.sparkSession
     # (doc_id, hash) rather than the text goes through the window that numbers repeated rows.
     slim = docs.select("doc_id", "source", F.xxhash64("text", "source").alias("row_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = materialize(slim.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1)))), "sized")
-    sources = materialize(targets(rows, weights, share, most), "targets")
+    rows = materialize(slim.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1)))), "sized", narrow=True)
+    sources = materialize(targets(rows, weights, share, most), "targets", narrow=True)
     n_chunks = max(16, rows.count() // 10_000)
 
     of = small(sources)

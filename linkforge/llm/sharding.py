@@ -42,13 +42,13 @@ def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))))
     key = F.conv(F.substring(digest, 1, 2 * STEPS * STEP_BITS // 8), 16, 10).cast("long")
     rows = docs.select(*names, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), key.alias("_key"))
-    left = materialize(rows.select("n_bytes", "_key"), "keys").select(F.lit("").alias("prefix"), "_key", "n_bytes")
+    left = materialize(rows.select("n_bytes", "_key"), "keys", narrow=True).select(F.lit("").alias("prefix"), "_key", "n_bytes")
     out, open_ = None, rows.withColumn("_prefix", F.lit(""))
     done_parts = []
     for step in range(STEPS):
         down = STEP_BITS * (STEPS - 1 - step)
         bits = F.shiftright("_key", down).bitwiseAND((1 << STEP_BITS) - 1)
-        cells = materialize(directory(left.select("prefix", bits.alias("bits"), F.col("n_bytes").alias("bytes")), limit, step), "directory")
+        cells = materialize(directory(left.select("prefix", bits.alias("bits"), F.col("n_bytes").alias("bytes")), limit, step), "directory", narrow=True)
         entries = cells.select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "depth", "done")
         if step == 0:
             entries = F.broadcast(entries)  # 2**16 rows at most
