@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from linkforge.functions.text import compact, grams, has_devanagari, has_non_ascii, tokens
 
@@ -46,12 +47,12 @@ def indel_of(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Whole words of a normalised name and what they stand for.
 NAME_WORDS = {"pvt": "private", "ltd": "limited", "inc": "incorporated", "corp": "corporation", "co": "company"}
@@ -16,7 +17,7 @@ ADDRESS_WORDS = {"rd": "road", "st": "street", "ave": "avenue", "blvd": "bouleva
 SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
