@@ -32,7 +32,7 @@ def _pack(doc_ids: np.ndarray, text: np.ndarray, bucket: np.ndarray, key: np.nda
     bucket, text, key = bucket[first], text[first], key[first]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, int)
     rows = {c: [] for c in ("bucket", "docs", "counts", "keys", "marks")}
-    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=False):
         t = text[a:b]
         heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         rows["bucket"].append(int(bucket[a]))
@@ -74,7 +74,7 @@ def _told(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(doc, kind="stable")
     doc, value = doc[order], value[order]
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, int)
-    found = [value[a:b].tobytes() for a, b in zip(heads, np.append(heads[1:], len(doc)), strict=True)]
+    found = [value[a:b].tobytes() for a, b in zip(heads, [*heads[1:], len(doc)], strict=False)]
     return pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
 
