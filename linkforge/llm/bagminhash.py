@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import U64, Words, chunks, materialize, mix64, shingles
+from linkforge.llm.common import U64, Words, chunks, materialize, mix64, shingles, slices
 from linkforge.llm.components import components
 
 REGISTERS, ROWS = 64, 4
@@ -53,7 +53,7 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_text
 
 
 def _bands(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts, ids = batch.column(1).to_pylist(), batch.column(0)
         for a, b in chunks(texts):
             words = Words(texts[a:b])
@@ -103,7 +103,7 @@ def differences(a: list[str | None], b: list[str | None]) -> np.ndarray:
 def _verified():
     """(a, b, similarity, bands) of (a, b, central, text_a, text_b); bands of their difference for central leaders."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 500):
             a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             central = batch.column(2).to_pylist()
             sizes = [(x or "") + (y or "") for x, y in zip(a, b, strict=True)]

@@ -62,6 +62,13 @@ def chunks(texts: list[str | None], most: int = CHUNK_BYTES):
         yield start, len(texts)
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in parts of that many rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift and odd multiplications)."""
     x = x.astype(U64, copy=True)

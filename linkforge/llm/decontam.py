@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import U64, Words, chunks, mix64
+from linkforge.llm.common import U64, Words, chunks, mix64, slices
 
 #: Items that one pass over the documents looks for; more go in further passes.
 ITEM_BLOCK = 20_000
@@ -164,10 +164,10 @@ def search(index: Index, words: Words):
 
 def _hits(index: Index):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1_000_000):
                 for text, item, start, length, edits in search(index, normal(texts[a:b])):
                     out += [(ids[a + text], owner, start, length, edits) for owner in index.owners[item]]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "start_word", "n_words", "edits"])

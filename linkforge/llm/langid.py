@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import U64, chunks, mix64
+from linkforge.llm.common import U64, chunks, mix64, slices as parts
 
 GRAMS = (3, 4)
 #: Training rows a language has at most, about: the bound of the sample that the filters are learned from.
@@ -19,6 +19,8 @@ LEAST_SHARE = 0.05
 SLOT_BITS, HASHES = 21, 2
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
+#: Characters that one numpy step holds; it needs some 150 bytes for each.
+CHUNK_CHARS = 500_000
 
 _LETTER: list[np.ndarray] = []
 
@@ -114,9 +116,9 @@ def held_out():
 
 
 def _gram_counts(batches):
-    for batch in batches:
+    for batch in parts(batches):
         langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, CHUNK_CHARS):
             grams = Grams(texts[a:b])
             names, code = np.unique(langs[a:b].astype(str), return_inverse=True)
             order = np.lexsort((grams.hash, grams.text))
@@ -171,9 +173,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float =
 
 def _predictions(filters: Filters):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_CHARS):
                 lang, score = filters.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
     return run
@@ -192,10 +194,10 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def _accepted(filters: Filters, names: list[str], at: int, least: float):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(at).to_pylist()
             keep = []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_CHARS):
                 lang, score = filters.predict(texts[a:b])
                 keep += [x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
