@@ -3,6 +3,7 @@ import collections
 import gzip
 import hashlib
 import json
+import random
 import re
 import zlib
 
@@ -61,6 +62,43 @@ def test_classes_of_a_family(spark):
     assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == brute_classes(rows)
 
 
+def crowd(n=90, size=70):
+    """Versions of one text with words replaced at random: many pairs lie just below and just above the threshold."""
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        text = list(base if i % 3 else rows[-1][1].split() if rows else base)
+        for at in draw.sample(range(size), draw.randint(1, 5)):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_classes_of_a_crowd(spark):
+    rows = crowd()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    brute = brute_classes(rows)
+    assert len(set(brute.values())) > 5
+    assert {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()} == brute
+
+
+@pytest.mark.parametrize("cell", [7, 1000])
+def test_rest_of_a_bucket_is_compared_whole(spark, cell):
+    """All near pairs of different classes in one hot bucket come out, whatever its cells; those of one class don't."""
+    rows = crowd(60)
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    members = spark.createDataFrame([(16, i) for i, _ in rows], "key long, doc_id long")
+    known = spark.createDataFrame([(i, 0) for i in range(0, 40, 2)] + [(i, 1) for i in range(1, 9, 2)], "node long, class long")
+    of = {r.node: r["class"] for r in known.collect()}
+    got = {(r.a, r.b) for r in bagminhash._rest(members, known, texts, 0.8, cell).collect()}
+    text = dict(rows)
+    pairs = [(a, b) for a in text for b in text if a < b and of.get(a, a) != of.get(b, b)]
+    same = bagminhash.similarity([text[a] for a, _ in pairs], [text[b] for _, b in pairs])
+    near = {p for p, s in zip(pairs, same, strict=True) if s >= 0.8}
+    assert near and near <= got <= {p for p, s in zip(pairs, same, strict=True) if s >= 0.68}
+
+
 def test_classes_of_awkward_rows(awkward, nothing):
     got = [(r.doc_id, r.class_id) for r in bagminhash.classes(awkward).collect()]
     assert len(got) == awkward.count()
