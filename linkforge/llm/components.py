@@ -18,23 +18,30 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.where("a is not null and b is not null")
     both = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "links", narrow=True)
-    labels = materialize(_step(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), both), "labels", narrow=True)
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", narrow=True)
     while True:
-        new = materialize(_step(_step(labels, both), both), "labels", narrow=True)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        # Both halves of a round are written: a plan that reads the first several times would repeat it as often.
+        heard = materialize(_heard(labels, both), "heard", narrow=True)
+        new = materialize(_jumped(heard), "labels", narrow=True)
+        changed = new.where("label <> old").limit(1).count()
         drop_table(labels)
-        labels = new
+        drop_table(heard)
+        labels = new.select("node", "label")
         if not changed:
             drop_table(both)
             return labels.withColumnRenamed("label", "class")
 
 
-def _step(labels: DataFrame, both: DataFrame) -> DataFrame:
-    """labels(node, label) after one round over both(a, b), the links in both directions."""
-    heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
-    low = labels.union(heard).groupBy("node").agg(F.min("label").alias("label"))
-    # The least label seen at a node is also told to the node's old label, so whole chains hook at once.
-    told = low.alias("l").join(labels.alias("o"), "node").select(F.col("o.label").alias("node"), F.col("l.label").alias("label"))
-    low = low.union(told).groupBy("node").agg(F.min("label").alias("label"))
-    jump = low.join(low.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
-    return jump.select("node", F.least("label", "up").alias("label"))
+def _heard(labels: DataFrame, both: DataFrame) -> DataFrame:
+    """(node, label, old): the least label at a node of labels(node, label) and its neighbours in both(a, b)."""
+    near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).alias("old"))
+    return labels.withColumn("old", F.col("label")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+
+
+def _jumped(heard: DataFrame) -> DataFrame:
+    """heard(node, label, old) after each node's old label has heard the node's, and each node its label's label."""
+    # What is told to the old label lets whole chains hook at once.
+    told = heard.select(F.col("old").alias("node"), "label", F.lit(None).alias("old"))
+    low = heard.union(told).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+    up = low.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return low.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "old")
