@@ -384,6 +384,26 @@ def test_contamination_equals_brute_force(spark, sf_dir):
     assert all(found[k] >= want[k] for k in found)
 
 
+@pytest.mark.parametrize("kind", ["mixed", "insert", "delete"])
+def test_items_at_their_most_edits_are_all_found(kind):
+    rng = random.Random(12)
+    for n in (8, 20, 33, 60, 100, 200):
+        items, docs = [], []
+        for i in range(12):
+            item = [f"w{i}_{k}" if k % 3 else f"common{rng.randrange(9)}" for k in range(n + i % 3)]
+            part = list(item)
+            for k in range(int(len(item) * 0.2)):
+                at = rng.randrange(len(part))
+                way = rng.choice(["insert", "delete", "replace"]) if kind == "mixed" else kind
+                part[at : at + 1] = {"insert": [f"new{k}", part[at]], "delete": [], "replace": [f"new{k}"]}[way]
+            items.append((i, " ".join(item)))
+            docs.append((i, " ".join([f"a{k}" for k in range(rng.randrange(30))] + part + [f"b{k}" for k in range(rng.randrange(30))])))
+        index = decontam.Index(items)
+        got = {(d, owner): e for d, i, _, _, e in decontam.search(index, decontam.normal([t for _, t in docs])) for owner in index.owners[i]}
+        want = brute_hits(docs, items)
+        assert all((i, i) in want for i, _ in items) and got == want
+
+
 def test_contamination_of_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, " ".join(f"shared{i}" for i in range(30)))], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(awkward, bench).collect()} == {7, 8, None}
