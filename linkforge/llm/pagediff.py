@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as markup
 import re
 from bisect import bisect_left, bisect_right
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,10 @@ _AROUND = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar comment comments commentlist disqus respond reply replies nav navbar navigation menu menubar breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar masthead contentinfo complementary search dialog footer paywall".split()
 )
 _PAGE_HEAD = frozenset("header topbar".split())
+#: Pages on either side, in URL order, that a page is differenced against.
+REACH = 2
+#: A page that shares this part of another's characters is its copy, and can't tell what is boilerplate there.
+COPY = 0.8
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -146,19 +151,32 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def main_text(lines: list[str], mains: list[bool], other: list[str] | None) -> str:
+def main_text(lines: list[str], mains: list[bool], others: list[list[str]]) -> str:
     """The blocks that are the page's own, joined by two line feeds.
 
-    ``other``: the lines of the page with the nearest URL. Shared lines are boilerplate and go, unless
-    the markup says that they stand in the article; a page that shares all its lines is a copy, not
-    boilerplate, and keeps them. Where there is an article or main element, nothing outside it stays.
+    ``others``: the lines of the pages beside it, that with the nearest URL first. On a page without an
+    article or main element the lines that it shares with the first are boilerplate and go; a page that
+    shares all its lines is a copy, not boilerplate, and keeps them.
+
+    Elsewhere the pages that are copies (of :data:`COPY` of the page's characters, or of its article's
+    where that has most of them) have no say. Of what is left, one page that shares a line outside the
+    article makes it boilerplate, and it takes two for a line inside. All other lines stay, wherever
+    they stand. Where no page has a say, the markup decides: what is inside stays.
     """
-    shared = set(common_lines(lines, other)) if other else set()
-    if any(mains):
-        return "\n\n".join(x for x, m in zip(lines, mains, strict=True) if m)
-    if len(shared) == len(lines):
-        return "\n\n".join(lines)
-    return "\n\n".join(x for i, x in enumerate(lines) if i not in shared)
+    if not any(mains):
+        shared = set(common_lines(lines, others[0])) if others else set()
+        return "\n\n".join(x for i, x in enumerate(lines) if i not in shared or len(shared) == len(lines))
+    size = [len(x) for x in lines]
+    inside = sum(n for n, m in zip(size, mains, strict=True) if m)
+    votes, voters = [0] * len(lines), 0
+    for other in others:
+        shared = common_lines(lines, other)
+        if sum(size[i] for i in shared) >= COPY * sum(size) or 2 * inside >= sum(size) and sum(size[i] for i in shared if mains[i]) >= COPY * inside:
+            continue
+        voters += 1
+        for i in shared:
+            votes[i] += 1
+    return "\n\n".join(x for x, m, v in zip(lines, mains, votes, strict=True) if (v < 2 if m else voters and not v))
 
 
 def url_key(url: Column) -> Column:
@@ -171,12 +189,12 @@ def _order(page_id: int | None) -> int:
     return -(1 << 63) if page_id is None else page_id
 
 
-def _bucketed(cuts: list[tuple[str, int]]):
-    """(bucket, key, page_id) of batches (key, page_id)."""
+def _bucketed(cuts: list[tuple[str, int]], known: frozenset = frozenset()):
+    """(bucket, key, page_id) of batches (key, page_id), but for known places."""
     def run(batches):
         for batch in batches:
-            keys, ids = batch.column(0).to_pylist(), [_order(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in zip(keys, ids, strict=True)], pa.int32()), batch.column(0), pa.array(ids, pa.int64())], names=["bucket", "key", "id"])
+            places = [x for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (x := (k, _order(i))) not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, x) for x in places], pa.int32()), pa.array([x[0] for x in places], pa.string()), pa.array([x[1] for x in places], pa.int64())], names=["bucket", "key", "id"])
     return run
 
 
@@ -184,7 +202,7 @@ _LINES = "bucket int, key string, id long, context boolean, page_id long, url st
 
 
 def _parsed(cuts: list[tuple[str, int]], also: dict[tuple[str, int], list[int]]):
-    """Blocks of each page in its bucket, and of a bucket's first and last page in the buckets beside it."""
+    """Blocks of each page in its bucket, and of a bucket's first and last pages in the buckets beside it."""
     def run(batches):
         for batch in batches:
             rows = []
@@ -208,39 +226,54 @@ def _common_prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _nearest(before, row, after) -> list[str] | None:
-    """Lines of the neighbour in URL order on the same host whose path agrees longest, the one before if both do."""
+def _beside(before: list, row, after: list) -> list[list[str]]:
+    """Lines of the pages of the same host, in URL order before (nearest first) and after, that a page is differenced against.
+
+    First comes that of the next on either side whose path agrees longest, the one before if both do.
+    """
     host = row[1].split("\x00", 1)[0]
-    near = [x for x in (before, after) if x is not None and x[0] == row[0] and x[1].split("\x00", 1)[0] == host]
-    return max(near, key=lambda x: _common_prefix(x[1], row[1]))[6] if near and host else None
+    if not host:
+        return []
+    sides = [[x for x in side if x[0] == row[0] and x[1].split("\x00", 1)[0] == host] for side in (before, after)]
+    if all(sides) and _common_prefix(sides[1][0][1], row[1]) > _common_prefix(sides[0][0][1], row[1]):
+        sides.reverse()
+    return [x[6] for side in sides for x in side]
 
 
 def _differenced(batches):
     """Batches sorted by bucket, key, id: each page meets the pages just before and after it."""
-    before = row = None
+    held: deque = deque([None] * (REACH + 1), 2 * REACH + 1)
 
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string()), pa.array([len(x[2]) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    def moved(after):
+        """The result for the page in the middle of those held, after one more has come in."""
+        held.append(after)
+        rows = list(held)
+        row = rows[REACH] if len(rows) > 2 * REACH else None
+        if row is None or row[3]:
+            return []
+        before, later = ([x for x in side if x is not None] for side in (rows[REACH - 1 :: -1], rows[REACH + 1 :]))
+        return [(row[4], row[5], main_text(row[6], row[7], _beside(before, row, later)))]
+
     for batch in batches:
         out = []
         for after in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
-            if row is not None and not row[3]:
-                out.append((row[4], row[5], main_text(row[6], row[7], _nearest(before, row, after))))
-            before, row = row, after
+            out += moved(after)
         yield made(out)
-    if row is not None and not row[3]:
-        yield made([(row[4], row[5], main_text(row[6], row[7], _nearest(before, row, None)))])
+    yield made([x for _ in range(REACH) for x in moved(None)])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text (the main text, empty if none), n_chars.
 
     Pages in order of host, path and id are dealt to buckets by cut points from a sample of the keys, so
-    a host with most pages fills many buckets; a bucket's first and last page also visit the buckets
-    beside it, so the cut points change no result. In its bucket each page is paired with the neighbour
-    of the same host whose path agrees longest, their lines are aligned by a longest common
-    subsequence, and shared lines are deleted as :func:`main_text` says. A task holds three pages.
+    a host with most pages fills many buckets; a bucket's first and last two pages also visit the buckets
+    beside it, so the cut points change no result. In its bucket each page is paired with the two pages
+    of the same host on either side, foremost the next one whose path agrees longest, their lines are
+    aligned by a longest common subsequence, and shared lines are deleted as :func:`main_text` says.
+    A task holds five pages.
 
     A null or malformed URL has no host and no pair; null html is empty. Pages with equal keys and ids
     are paired like any others. Other columns are ignored. Empty: empty; rows that repeat, repeat.
@@ -254,12 +287,20 @@ def extract(pages: DataFrame) -> DataFrame:
     sample = sorted((r.key, _order(r.page_id)) for r in keys.sample(share, 5).toLocalIterator()) if n > 100 * buckets or n > 2000 else []
     step = max(1, len(sample) // buckets)
     cuts = sorted(set(sample[step::step]))
-    edges = keys.mapInArrow(_bucketed(cuts), "bucket int, key string, id long").groupBy("bucket").agg(F.min(F.struct("key", "id")).alias("first"), F.max(F.struct("key", "id")).alias("last"))
-    ends = sorted((r.bucket, tuple(r.first), tuple(r.last)) for r in edges.collect()) if cuts else []
+    # The first and last places of each bucket, one more on either side at each pass.
+    ends: dict[int, set[tuple[str, int]]] = {}
+    for _ in range(REACH if cuts else 0):
+        known = frozenset().union(*ends.values())
+        edges = keys.mapInArrow(_bucketed(cuts, known), "bucket int, key string, id long").groupBy("bucket").agg(F.min(F.struct("key", "id")).alias("first"), F.max(F.struct("key", "id")).alias("last"))
+        for r in edges.collect():
+            ends.setdefault(r.bucket, set()).update((tuple(r.first), tuple(r.last)))
     also: dict[tuple[str, int], list[int]] = {}
-    for (a, _, last), (b, first, _) in zip(ends, ends[1:], strict=False):
-        also.setdefault(last, []).append(b)
-        also.setdefault(first, []).append(a)
+    order = sorted(ends)
+    for at, b in enumerate(order):
+        for others, last in ((order[:at][::-1][:REACH], True), (order[at + 1 :][:REACH], False)):
+            places = [x for o in others for x in sorted(ends[o], reverse=last)]
+            for x in places[:REACH]:
+                also.setdefault(x, []).append(b)
     parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed(cuts, also), _LINES)
     dealt = parsed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key", "id", "context")
     return dealt.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")

@@ -220,6 +220,33 @@ def test_page_differencing(spark):
     assert pagediff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_decides_inside_and_outside_articles(spark):
+    """Repeated lines in an article go; a body beside a small article stays; copies of articles keep their text."""
+    def inside(i):
+        return f"<article><h1>Head {i}</h1><p>Subscribe today</p><p>Long story number {i} told here</p></article><p>Site line</p>"
+
+    def beside(i):
+        return f"<article><p>Teaser</p></article><div>Body of page {i} in a plain div, long enough</div><p>Site line</p>"
+
+    story = [f"<article><p>Own words {k} of the copied story</p><p>Second paragraph {k}</p></article><p>Site line</p>" for k in range(2)]
+    rows = [(i, f"http://a.org/{i}", inside(i)) for i in range(7)] + [(10 + i, f"http://b.org/{i}", beside(i)) for i in range(7)]
+    rows += [(20 + i, f"http://c.org/{i}", story[i // 3]) for i in range(6)] + [(30, "http://d.org/", inside(9))]
+    got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\n\nLong story number {i} told here" for i in range(7))
+    assert all(got[10 + i] == f"Body of page {i} in a plain div, long enough" for i in range(7))
+    assert all(got[20 + i] == f"Own words {i // 3} of the copied story\n\nSecond paragraph {i // 3}" for i in range(6))
+    assert got[30] == "Head 9\n\nSubscribe today\n\nLong story number 9 told here"
+
+
+def test_cut_points_change_no_result_in_articles(spark, monkeypatch):
+    rows = [(i, f"http://h.org/a/{i * 7919 % 10007}", f"<body><article><p>same {i % 2}</p><p>own {i}</p><p>all</p></article></body>") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    many = sorted(tuple(r) for r in pagediff.extract(df).collect())
+    monkeypatch.setattr(pagediff, "partitions", lambda spark: 30)
+    assert sorted(tuple(r) for r in pagediff.extract(df).collect()) == many
+    assert all(f"own {r[0]}" in r[2] and "all" not in r[2] for r in many)
+
+
 def test_cut_points_change_no_result(spark, monkeypatch):
     rows = [(i, f"http://h.org/a/{i * 7919 % 10007}", f"<body><p>same</p><p>own {i}</p></body>") for i in range(3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
