@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -20,6 +20,12 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines: the rest of a line, then whole lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*(?:\r?\n|\Z)))+={0,2}")
+_GLUE = re.compile(r"[/_-]")
+#: No secret, plain or encoded, is without this many ASCII characters in a row.
+_PLAIN = re.compile(r"[\x20-\x7e]{12}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: Bytes that one compressed layer may unfold to; beyond, the layer counts as unread.
 MOST_UNFOLDED = 64_000_000
 Span = tuple[int, int]
@@ -37,38 +43,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _readable(data: bytes) -> str | None:
-    """data as text, if it is UTF-8 (or UTF-16 with a mark) without control characters but white space."""
-    try:
-        text = data.decode("utf-16") if data[:2] in (b"\xff\xfe", b"\xfe\xff") else data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and not any(c < " " and c not in "\t\n\r\f\v" or c == "\x7f" for c in text) else None
+def _text(data: bytes) -> str:
+    """data as text: UTF-16 with a mark, else UTF-8; a byte that is neither stays as a lone surrogate."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    return data.decode("utf-8", "surrogateescape")
 
 
-def _unfolded(data: bytes) -> bytes | None:
-    """data without its gzip, zlib or raw compressed layer; None if it has none."""
-    for wbits in (47, -15) if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" else ():
-        try:
-            run = zlib.decompressobj(wbits)
-            out = run.decompress(data, MOST_UNFOLDED)
+def _unfolded(data: bytes, starts=(0,)):
+    """What the gzip or zlib layers in data unfold to: at the starts, and wherever the usual headers stand."""
+    view = memoryview(data)
+    for at in sorted({m.start() for m in _MAGIC.finditer(data)}.union(starts)):
+        for wbits in (47, -15) if bytes(view[at : at + 2]) == b"\x1f\x8b" or bytes(view[at : at + 1]) == b"\x78" else ():
+            try:
+                run = zlib.decompressobj(wbits)
+                out = run.decompress(view[at:], MOST_UNFOLDED)
+            except zlib.error:
+                continue
             if run.eof:
-                return out
-        except zlib.error:
-            continue
-    return None
+                yield out
+                break
 
 
-def _opened(data: bytes) -> str | None:
-    """Text of decoded bytes, through any compressed layers."""
-    seen = set()
-    while (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
-        seen.add(key)
-        inner = _unfolded(data)
-        if inner is None:
-            return _readable(data)
-        data = inner
-    return None
+def _opened(data: bytes, starts=(0,)):
+    """Texts under the compressed layers in decoded bytes, however many."""
+    seen, work = set(), [_unfolded(data, starts)]
+    while work:
+        piece = next(work[-1], None)
+        if piece is None:
+            work.pop()
+        elif (key := hashlib.blake2b(piece, digest_size=16).digest()) not in seen:
+            seen.add(key)
+            yield _text(piece)
+            work.append(_unfolded(piece))
 
 
 def _character_layer(text: str, pattern: re.Pattern, decode) -> tuple[str, list[Span]] | None:
@@ -110,19 +117,40 @@ def _escape(one: str):
     return chr(code), [(0, len(one))]
 
 
+def _placed(text: str, at: list[int]) -> list[Span]:
+    """For text decoded from the base64 characters at these places: the span of each character."""
+    spans, k = [], 0
+    for c in text:
+        size = 1 if "\ud800" <= c <= "\udfff" else len(c.encode("utf-8"))
+        spans.append((at[8 * k // 6], at[(8 * (k + size) - 1) // 6] + 1))
+        k += size
+    return spans
+
+
 def _base64_parts(text: str):
-    """(start, end, decoded text) of the runs of base64 in a text that hold readable text, compressed or not."""
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inner = _opened(data)
-        if inner is not None:
-            yield m.start(), m.end(), inner
+    """(spans, decoded text) of the base64 in a text, compressed or not.
+
+    A run is read at all four alignments, for it may be glued to a path or a word before it; lines of
+    base64 are read one by one and as one run. Only what can hold a secret comes out. A run read from
+    its start, and what a compressed layer holds, has the place of the whole run.
+    """
+    for m in itertools.chain(_BASE64.finditer(text), _WRAPPED.finditer(text)):
+        body = m[0].rstrip("=")
+        at = [m.start() + i for i, c in enumerate(body) if not c.isspace()]
+        body = "".join(body.split()).replace("-", "+").replace("_", "/")
+        wrapped = len(body) < m.end() - m.start() - m[0].count("=")
+        glued = [i + 1 for i, k in enumerate(at) if _GLUE.match(text[k])]
+        for o in range(4):
+            part = body[o : len(body) - ((len(body) - o) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            whole = (m.start(), m.end())
+            inner = _text(data)
+            if _PLAIN.search(inner):
+                by_character = (o or wrapped) and data[:2] not in (b"\xff\xfe", b"\xfe\xff")
+                yield _placed(inner, at[o:]) if by_character else [whole] * len(inner), inner
+            for inner in _opened(data, {0}.union(i // 4 * 3 for i in glued if i % 4 == o)):
+                if _PLAIN.search(inner):
+                    yield [whole] * len(inner), inner
 
 
 def layers(text: str):
@@ -148,8 +176,8 @@ def layers(text: str):
         for sign, pattern, decode in (("%", _PERCENT, _percent), ("\\", _UNICODE, _escape)):
             if sign in layer and (new := _character_layer(layer, pattern, decode)):
                 work.append((new[0], mapped(new[1])))
-        for a, b, inner in _base64_parts(layer):
-            work.append((inner, mapped([(a, b)] * len(inner))))
+        for spans, inner in _base64_parts(layer):
+            work.append((inner, mapped(spans)))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
