@@ -26,8 +26,10 @@ _GLUE = re.compile(r"[/_-]")
 #: No secret, plain or encoded, is without this many ASCII characters in a row.
 _PLAIN = re.compile(r"[\x20-\x7e]{12}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: Bytes that one compressed layer may unfold to; beyond, the layer counts as unread.
-MOST_UNFOLDED = 64_000_000
+#: Bytes that a compressed layer unfolds to at a time, and how many of them the next piece repeats.
+MOST_UNFOLDED, OVERLAP = 64_000_000, 1_000_000
+#: Bytes of a possible raw layer that are tried first.
+PROBE = 4096
 Span = tuple[int, int]
 
 
@@ -50,19 +52,59 @@ def _text(data: bytes) -> str:
     return data.decode("utf-8", "surrogateescape")
 
 
+def _headed(data) -> bool:
+    """Whether data begins as gzip or zlib do."""
+    return len(data) > 2 and (bytes(data[:2]) == b"\x1f\x8b" or data[0] & 15 == 8 and data[0] < 128 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _pieces(data, wbits: int):
+    """What a compressed layer and the members after it unfold to, as far as it goes, in overlapping pieces.
+
+    A raw layer (wbits < 0) has no header that tells it, so nothing comes of one that doesn't reach its end.
+    """
+    run, out, new = zlib.decompressobj(wbits), bytearray(), False
+    while len(data):
+        try:
+            part = run.decompress(data, MOST_UNFOLDED - len(out))
+        except zlib.error:
+            if wbits < 0:
+                return
+            break
+        out += part
+        new = new or bool(part)
+        if run.eof:
+            data = run.unused_data
+            if not _headed(data):
+                break
+            run, wbits = zlib.decompressobj(47), 47
+        else:
+            data = run.unconsumed_tail
+            if wbits < 0 and not data:
+                return
+        if len(out) >= MOST_UNFOLDED:
+            yield bytes(out)
+            out, new = out[-OVERLAP:], False
+    if new:
+        yield bytes(out)
+
+
+def _raw(data) -> bool:
+    """Whether data may be raw deflate, by its first bytes."""
+    try:
+        return len(zlib.decompressobj(-15).decompress(data[:PROBE], 2 * PROBE)) > 8
+    except zlib.error:
+        return False
+
+
 def _unfolded(data: bytes, starts=(0,)):
-    """What the gzip or zlib layers in data unfold to: at the starts, and wherever the usual headers stand."""
+    """What the compressed layers in data unfold to: at the starts, and wherever the usual headers stand."""
     view = memoryview(data)
-    for at in sorted({m.start() for m in _MAGIC.finditer(data)}.union(starts)):
-        for wbits in (47, -15) if bytes(view[at : at + 2]) == b"\x1f\x8b" or bytes(view[at : at + 1]) == b"\x78" else ():
-            try:
-                run = zlib.decompressobj(wbits)
-                out = run.decompress(view[at:], MOST_UNFOLDED)
-            except zlib.error:
-                continue
-            if run.eof:
-                yield out
-                break
+    heads = {m.start() for m in _MAGIC.finditer(data)}
+    for at in sorted(heads.union(starts)):
+        if _headed(view[at:]):
+            yield from _pieces(view[at:], 47)
+        if at in starts and _raw(view[at:]):
+            yield from _pieces(view[at:], -15)
 
 
 def _opened(data: bytes, starts=(0,)):
@@ -208,8 +250,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Base spans stand in the text itself: assignments to a password-like name, access keys, hex strings;
     the counts and the digest are of them. ``spans`` also has those found below URL, Unicode, base64
-    and compressed (gzip, zlib) layers, nested in any order, at the place of the encoded characters
-    that gave them. Null text counts as empty. A compressed layer that unfolds to more than 64 MB is
-    not read. Other columns are ignored; empty: empty; rows that repeat, repeat.
+    and compressed (gzip, zlib, raw deflate) layers, nested in any order, at the place of the encoded
+    characters that gave them. Null text counts as empty. A compressed layer that unfolds to more than
+    64 MB is read in pieces of that size, each with the last 1 MB of the one before. Other columns are
+    ignored; empty: empty; rows that repeat, repeat.
     """
     return docs.select("doc_id", "text").mapInArrow(_scans, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -550,6 +550,24 @@ def test_secrets_in_wrapped_and_glued_base64():
     assert 19 <= a < a + 23 <= b <= len(text)
 
 
+def test_secrets_in_all_compressed_layers(monkeypatch):
+    def found(data):
+        return found_in("see " + base64.b64encode(data).decode() + " there")
+
+    core = b"my password=Abc123456 is here"
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    assert "assign" in found(raw.compress(core) + raw.flush())
+    assert "assign" in found(gzip.compress(b"first member") + gzip.compress(core))
+    for bits in range(9, 16):
+        for level in range(10):
+            run = zlib.compressobj(level, zlib.DEFLATED, bits)
+            assert "assign" in found(run.compress(core) + run.flush())
+    monkeypatch.setattr(secrets, "MOST_UNFOLDED", 20_000)
+    monkeypatch.setattr(secrets, "OVERLAP", 1000, raising=False)
+    for k in (0, 19_980, 19_990, 20_000, 70_000):
+        assert "assign" in found(gzip.compress(b"a b " * (k // 4) + core + b" c d" * 20_000))
+
+
 def test_secrets_after_much_base64():
     """Long runs of base64 that hold no text take time in proportion."""
     code = base64.b64encode(random.Random(1).randbytes(300_000)).decode()
