@@ -17,7 +17,8 @@ SAMPLE_ROWS = 4000
 #: Share of a language's training rows in which an n-gram must stand to enter its filter.
 LEAST_SHARE = 0.05
 SLOT_BITS, HASHES = 21, 2
-MOST_LANGUAGES = 64
+#: Languages in one set of masks; more take further sets.
+WORD_LANGUAGES = 64
 UNKNOWN = "und"
 #: Characters that one numpy step holds; it needs some 150 bytes for each.
 CHUNK_CHARS = 500_000
@@ -76,22 +77,23 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """One Bloom filter per language, sliced by bit: masks[slot] has bit l set where language l has the slot."""
+    """One Bloom filter per language, sliced by bit: masks[w, slot] has bit l set where language 64 w + l has the slot."""
 
     languages: list[str]
     masks: np.ndarray
 
     def false_rate(self) -> np.ndarray:
         """Chance that a language's filter claims an n-gram it does not hold."""
-        fill = [float(((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)).mean()) for i in range(len(self.languages))]
+        one = self.masks.dtype.type(1)
+        fill = [float(((self.masks[i // WORD_LANGUAGES] >> self.masks.dtype.type(i % WORD_LANGUAGES)) & one).mean()) for i in range(len(self.languages))]
         return np.array(fill) ** HASHES
 
-    def found(self, h: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that contain each n-gram: one lookup for all languages."""
+    def found(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bitmask of the languages of a set that contain each n-gram: one lookup for all of them."""
         first, *others = slots(h)
-        mask = self.masks[first]
+        mask = self.masks[word][first]
         for s in others:
-            mask = mask & self.masks[s]
+            mask = mask & self.masks[word][s]
         return mask
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -99,15 +101,16 @@ class Filters:
         n = np.bincount(grams.text, minlength=len(texts)).astype(float)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        mask = self.found(grams.hash)
-        rate = self.false_rate()
-        share = np.zeros((len(self.languages), len(texts)))
-        for i, f in enumerate(rate):
-            hits = np.bincount(grams.text, ((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(float), minlength=len(texts))
-            share[i] = np.clip((hits - f * n) / np.maximum(1.0, n * (1 - f)), 0, 1)
-        best = share.argmax(0)
+        best, most = np.zeros(len(texts), np.int64), np.full(len(texts), -1.0)
+        for i, f in enumerate(self.false_rate()):
+            if i % WORD_LANGUAGES == 0:
+                mask = self.found(grams.hash, i // WORD_LANGUAGES)
+            hits = np.bincount(grams.text, ((mask >> mask.dtype.type(i % WORD_LANGUAGES)) & mask.dtype.type(1)).astype(float), minlength=len(texts))
+            share = np.clip((hits - f * n) / np.maximum(1.0, n * (1 - f)), 0, 1)
+            better = share > most
+            best[better], most[better] = i, share[better]
         known = grams.has_letter
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, share.max(0), 0.0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, most, 0.0)
 
 
 def held_out():
@@ -133,15 +136,20 @@ def _gram_counts(batches):
 
 
 def _slices(names: list[str], dtype: str):
+    """(set, masks) of the languages in the batches."""
     def run(batches):
-        masks = np.zeros(1 << SLOT_BITS, dtype)
+        masks: dict[int, np.ndarray] = {}
         number = {x: i for i, x in enumerate(names)}
         for batch in batches:
-            bit = (1 << np.array([number[x] for x in batch.column(0).to_pylist()], U64)).astype(dtype) if batch.num_rows else np.empty(0, dtype)
+            of = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             h = np.asarray(batch.column(1).to_numpy(zero_copy_only=False)).view(U64)
-            for s in slots(h):
-                np.bitwise_or.at(masks, s.astype(np.int64), bit)
-        yield pa.RecordBatch.from_arrays([pa.array([masks.tobytes()], pa.binary())], names=["masks"])
+            for word in np.unique(of // WORD_LANGUAGES).tolist():
+                own = of // WORD_LANGUAGES == word
+                bit = (U64(1) << (of[own] % WORD_LANGUAGES).astype(U64)).astype(dtype)
+                for s in slots(h[own]):
+                    np.bitwise_or.at(masks.setdefault(word, np.zeros(1 << SLOT_BITS, dtype)), s.astype(np.int64), bit)
+        for word, mask in masks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([word], pa.int32()), pa.array([mask.tobytes()], pa.binary())], names=["word", "masks"])
     return run
 
 
@@ -150,13 +158,14 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float =
 
     About ``sample_rows`` rows a language are taken, by a hash of the id; that is the only bound on the
     input. An n-gram enters a language's filter if it stands in ``least_share`` of its sample, twice at
-    least. The filters have a fixed size (2**21 slots) and come to the driver as one slice a task.
+    least. The filters have a fixed size (2**21 slots) and come to the driver as one slice a task for
+    each 64 languages; their number has no limit, but every 64 take 16 MB in the driver and each worker.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
     if not names:
-        return Filters([], np.zeros(1 << SLOT_BITS, np.uint8))
+        return Filters([], np.zeros((1, 1 << SLOT_BITS), np.uint8))
     scale = 1 << 30
     keep = F.create_map(*[F.lit(x) for k in names for x in (k, min(scale, int(scale * sample_rows / sizes[k]) + 1))])
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(scale)) < F.try_element_at(keep, F.col("lang")))
@@ -165,9 +174,9 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float =
     grams = sample.select("lang", "text").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = grams.where(F.col("n") >= F.try_element_at(least, F.col("lang"))).select("lang", "gram").coalesce(8)
     dtype = "u1" if len(names) <= 8 else "u8"
-    masks = np.zeros(1 << SLOT_BITS, dtype)
-    for r in grams.mapInArrow(_slices(names, dtype), "masks binary").toLocalIterator():
-        masks |= np.frombuffer(r.masks, dtype)
+    masks = np.zeros((-(-len(names) // WORD_LANGUAGES), 1 << SLOT_BITS), dtype)
+    for r in grams.mapInArrow(_slices(names, dtype), "word int, masks binary").toLocalIterator():
+        masks[r.word] |= np.frombuffer(r.masks, dtype)
     return Filters(names, masks)
 
 

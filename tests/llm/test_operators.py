@@ -486,6 +486,18 @@ def test_language_of_awkward_rows(documents, awkward, nothing):
     assert langid.drop_unknown(documents, filters).count() >= 0.99 * documents.count()
 
 
+def test_more_languages_than_bits(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(70 * 12)]
+    rows = [(100 * k + i, " ".join("".join(rng.choices(letters[12 * k : 12 * k + 12], k=4)) for _ in range(300)), f"l{k:02}") for k in range(70) for i in range(9 if k < 64 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.learn(docs)
+    assert len(filters.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert langid.drop_unknown(docs, filters).count() == len(rows)
+
+
 # 10: secrets
 
 
