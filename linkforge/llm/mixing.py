@@ -58,6 +58,13 @@ def small(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def joined(rows: DataFrame, taken: DataFrame, how: str) -> DataFrame:
+    """rows with what is taken of each by doc_id, row_hash and row_no; a null doc_id meets a null one."""
+    own = taken.withColumnsRenamed({c: f"taken_{c}" for c in ("doc_id", "row_hash", "row_no")})
+    on = F.col("doc_id").eqNullSafe(F.col("taken_doc_id")) & (F.col("row_hash") == F.col("taken_row_hash")) & (F.col("row_no") == F.col("taken_row_no"))
+    return rows.join(own, on, how).drop("taken_doc_id", "taken_row_hash", "taken_row_no")
+
+
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block_words: int = 256, shard_slots: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plan a mix of docs(doc_id, text, source, ...) in which every source has its target share of words.
 
@@ -125,7 +132,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     took = pieces.groupBy("doc_id", "row_hash", "row_no").agg(F.sum("words").alias("taken"))
     of = small(sources)
     out = rows.join(of, rows["source"].eqNullSafe(of["source"])).drop(of["source"])
-    return out.join(took, ["doc_id", "row_hash", "row_no"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return joined(out, took, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -137,7 +144,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     _, _, pieces = mix(docs, **options)
     runs = pieces.groupBy("doc_id", "row_hash", "row_no", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs"), F.sum("words").alias("taken"))
     keyed = sized(docs)
-    both = keyed.join(runs, ["doc_id", "row_hash", "row_no"])
+    both = joined(keyed, runs, "inner")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("all_words", (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
     both = both.withColumn("all_words", F.when(F.col("taken") < F.col("size"), words))

@@ -176,6 +176,15 @@ def test_mix_awkward(awkward, nothing):
     assert mixing.taken_words(nothing).count() == 0
 
 
+def test_mix_holds_rows_without_an_id(awkward):
+    check_mix(awkward.where("source = 'b'"))
+    planned = {r.doc_id: r.taken for r in mixing.taken_words(awkward.where("source = 'b'")).collect()}
+    out = collections.Counter()
+    for r in mixing.mixed_documents(awkward.where("source = 'b'")).collect():
+        out[r.doc_id] += len(words(r.text))
+    assert planned[None] > 0 and out == collections.Counter({i: n for i, n in planned.items() if n})
+
+
 def test_mixed_texts_hold_the_taken_words(documents):
     planned = {r.doc_id: r.taken for r in mixing.taken_words(documents).collect()}
     out, texts = collections.Counter(), {r.doc_id: words(r.text) for r in documents.collect()}
