@@ -12,7 +12,7 @@ MOST_SHARE, LEAST_SHARE = 0.2, 0.001
 #: A subset keeps one in 2**k lexicon terms; subsets of several widths suit short and long texts.
 WIDTHS, SEEDS = (2, 3, 4, 5, 6, 7, 8, 9), 4
 #: Ids of one block of the order; bounds what a window holds.
-BLOCK = 2048
+BLOCK = 512
 
 
 def terms(text: Column) -> Column:
@@ -32,25 +32,26 @@ def lexicon(docs: DataFrame, most: float = MOST_SHARE, least: float = LEAST_SHAR
     return counted.where((F.col("n") >= max(2.0, least * n)) & (F.col("n") <= most * n)).select("term")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62)))
-    return docs.select(block.alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def lookup(words: DataFrame) -> tuple[DataFrame, int]:
+    """One row (table), and bits: the terms of words(term) in 2**bits lists by their first bits, at about one term a list.
 
+    It goes to every task as a value of the query, and a term is looked up there in constant time.
+    The lexicon's bound (see :func:`lexicon`) is its bound, at some 32 bytes a term.
+    """
+    bits = max(1, min(24, words.count().bit_length()))
+    place = F.shiftrightunsigned("term", 64 - bits).cast("int")
+    held = words.groupBy(place.alias("place")).agg(F.collect_list("term").alias("terms"))
+    every = words.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("place")).join(held, "place", "left")
+    every = every.select("place", F.coalesce("terms", F.array().cast("array<long>")).alias("terms"))
+    table = F.array_sort(F.collect_list(F.struct("place", "terms")))
+    return every.agg(F.transform(table, lambda x: x["terms"]).alias("table")), bits
 
-def _under(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(block, under_text, under_subsets): the largest document of the next smaller block, round to the largest of all.
 
-    One row per block of 2,048 ids: the blocks' neighbours come from a window over these rows alone.
-    """
-    best = F.max(F.struct("doc_id", "text")).alias("best")
-    tops = rows.groupBy("block").agg(best).select("block", F.col("best.text").alias("text"))
-    tops = materialize(fingerprints(tops, known=words).select("block", F.struct("text", "subsets").alias("top")), "tops")
-    order = Window.orderBy("block")
-    near = tops.select("block", F.lag("block").over(order).alias("under"))
-    last = tops.agg(F.max("block").alias("last"))
-    near = near.crossJoin(F.broadcast(last)).select("block", F.coalesce("under", "last").alias("under"))
-    met = near.join(tops.select(F.col("block").alias("under"), "top"), "under")
-    return met.select("block", F.col("top.text").alias("under_text"), F.col("top.subsets").alias("under_subsets"))
+def found(text: Column, table: Column, bits: int) -> Column:
+    """The distinct terms of a text that the table of :func:`lookup` holds, sorted."""
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    held = F.filter(words, lambda t: F.array_contains(F.element_at(table, F.shiftrightunsigned(t, 64 - bits).cast("int") + 1), t))
+    return F.sort_array(F.array_distinct(held))
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -64,17 +65,27 @@ def whole_hash(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
-def subset_hashes(found: Column, whole: Column) -> Column:
-    """Array of one hash per lexicon subset over the sorted lexicon terms ``found``; 0 where a subset holds none.
+def subset_hashes(df: DataFrame, terms: str, whole: Column, out: str) -> DataFrame:
+    """df with a column ``out``: an array of one hash per lexicon subset over the sorted lexicon terms, 0 where a subset holds none.
 
-    A text with no lexicon term at all has the hash of the text itself, ``whole``, in every place.
+    A subset of width w keeps the terms of which w bits of a seeded hash are 0; each width has its own
+    bits. A text with no lexicon term at all has the hash of the text itself, ``whole``, in every place.
     """
+    def seeded(seed: int) -> Column:
+        return F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed)))
+
+    names = {s: f"_{out}_{s}" for s in range(SEEDS)}
+    df = df.withColumns({names[s]: seeded(s) for s in names})
+
     def one(width: int, seed: int) -> Column:
-        kept = F.filter(found, lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(seed)), 64 - width) == 0)
-        return F.when(F.size(kept) > 0, F.xxhash64(kept, F.lit(seed))).otherwise(F.lit(0).cast("long"))
+        bits = ((1 << width) - 1) << sum(w for w in WIDTHS if w < width)
+        kept = F.filter(names[seed], lambda h: h.bitwiseAND(F.lit(bits)) == 0)
+        return F.xxhash64(kept)
 
-    subsets = [(w, 1000 * w + s) for w in WIDTHS for s in range(SEEDS)]
-    return F.when(F.size(found) > 0, F.array(*[one(w, s) for w, s in subsets])).otherwise(F.array_repeat(whole, len(subsets)))
+    none = F.xxhash64(F.array().cast("array<long>"))
+    hashes = [F.coalesce(F.nullif(one(w, s), none), F.lit(0).cast("long")) for w in WIDTHS for s in range(SEEDS)]
+    every = F.when(F.size(terms) > 0, F.array(*hashes)).otherwise(F.array_repeat(whole, len(hashes)))
+    return df.withColumn(out, every).drop(*names.values())
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,6 +100,16 @@ def spelled(subsets: Column) -> Column:
     return F.array_join(F.transform(subsets, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _with_subsets(df: DataFrame, words: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """df with a column of subset hashes for each text."""
+    table, bits = lookup(words)
+    for c, t in texts.items():
+        # Used once, so that the optimizer puts the table's value where it is used: it is no column of any row.
+        df = df.withColumn("_table", table.scalar()).withColumn("_found", found(t, F.col("_table"), bits)).drop("_table")
+        df = subset_hashes(df, "_found", whole_hash(t), c).drop("_found")
+    return df
+
+
 def fingerprints(docs: DataFrame, text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """docs with ``subsets`` and ``fingerprint`` of a text column: I-Match over the lexicon of docs, or a given one.
 
@@ -96,17 +117,37 @@ def fingerprints(docs: DataFrame, text: str = "text", known: DataFrame | None =
     those in each of 32 randomised lexicon subsets. Equal texts have equal fingerprints. Null and empty
     texts have subsets of zeros. Empty: empty; other columns pass through.
     """
-    words = _broadcast(known if known is not None else materialize(lexicon(docs.select(F.col(text).alias("text"))), "lexicon", narrow=True))
-    rows = docs.withColumn("_row", F.struct(F.xxhash64(text), F.md5(F.coalesce(F.col(text), F.lit("")))))
-    hits = rows.select("_row", F.col(text).alias("_t")).dropDuplicates(["_row"]).select("_row", F.explode(terms(F.col("_t"))).alias("term")).join(words, "term").groupBy("_row").agg(F.array_sort(F.collect_list("term")).alias("_found"))
-    out = rows.join(hits, "_row", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<long>")))
-    out = out.withColumn("subsets", subset_hashes(F.col("_found"), whole_hash(F.coalesce(F.col(text), F.lit("")))))
-    return out.withColumn("fingerprint", spelled(F.col("subsets"))).drop("_row", "_found")
+    words = known if known is not None else materialize(lexicon(docs.select(F.col(text).alias("text"))), "lexicon", narrow=True)
+    out = _with_subsets(docs, words, {"subsets": F.coalesce(F.col(text), F.lit(""))})
+    return out.withColumn("fingerprint", spelled(F.col("subsets")))
 
 
-def _broadcast(words: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """The lexicon with a broadcast hint when it has at most ``most`` terms (8 bytes each)."""
-    return F.broadcast(words) if words.count() <= most else words
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, text): blocks of BLOCK consecutive ids, or of more where ids are sparse, so that there are at most as many as there are BLOCKs of rows, and one more."""
+    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
+    wide = BLOCK if not span.n else max(BLOCK, -(-(span.high - span.low + 1) // max(1, span.n // BLOCK)))
+    # Halves keep the difference of any two ids inside 64 bits.
+    half = min(max(1, wide // 2), 2**63 - 1)
+    block = F.expr(f"(doc_id div 2 - {(span.low or 0) // 2}) div {half}")
+    return docs.select(F.coalesce(block, F.lit(-1).cast("long")).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _under(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(block, under_text, under_subsets): the largest document of the next smaller block, round to the largest of all.
+
+    The blocks' order comes from their numbers alone, in windows of 4,096 blocks and over those windows.
+    """
+    best = F.max(F.struct("doc_id", "text")).alias("best")
+    tops = rows.groupBy("block").agg(best).select("block", F.col("best.text").alias("text"))
+    tops = materialize(_with_subsets(tops, words, {"subsets": F.col("text")}).select("block", F.struct("text", "subsets").alias("top")), "tops")
+    near = tops.select("block", F.floor(F.col("block") / 4096).alias("set"))
+    order = Window.orderBy("set")
+    sets = near.groupBy("set").agg(F.max("block").alias("last"))
+    sets = sets.select("set", F.coalesce(F.lag("last").over(order), F.max("last").over(Window.partitionBy())).alias("before"))
+    near = near.withColumn("under", F.lag("block").over(Window.partitionBy("set").orderBy("block"))).join(sets, "set")
+    near = near.select("block", F.coalesce("under", "before").alias("under"))
+    met = near.join(tops.select(F.col("block").alias("under"), "top"), "under")
+    return met.select("block", F.col("top.text").alias("under_text"), F.col("top.subsets").alias("under_subsets"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,11 +156,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text gives up its last floor(n/2) code points for the first as many of the next
     document, by descending doc_id (rows of one doc_id: by descending text; after the last: the first).
     near_edited is the likeness of the fingerprint to the edited text's, near_next to the next
-    document's. Null text counts as empty; a null doc_id is a block of its own and comes last.
+    document's. Null text counts as empty; rows with a null doc_id are a block of their own and come last.
 
-    Ids fall in blocks of 2,048, so a window holds one block of texts; only the largest document of
-    each block is carried to the next block. Texts move once, to their block; there the terms meet the
-    lexicon, which is broadcast, and their document again without another shuffle.
+    Ids fall in blocks, so a window holds one block of texts; only the largest document of each block is
+    carried to the next block. Texts move once, to their block; their terms meet the lexicon in place,
+    in a table that every task holds, and only the subsets' hashes go on.
     """
     words = materialize(lexicon(docs), "lexicon", narrow=True)
     rows = _blocks(docs)
@@ -128,21 +169,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
     rows = rows.join(under, "block")
     rows = rows.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", "under_text")))
-
-    # Term 0 stands in every text, so that each keeps a row; that row alone carries what else is needed of the text.
-    known = _broadcast(words.union(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))))
-    two = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    each = rows.select("block", "place", "doc_id", "under_subsets", two.alias("k")).select("block", "place", "doc_id", "under_subsets", "k.kind", "k.t")
-    load = F.struct("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("sha"), whole_hash(F.col("t")).alias("whole"), "under_subsets")
-    none = F.when(F.lit(False), load)
-    marked = F.array_append(F.transform(terms(F.col("t")), lambda x: F.struct(x.alias("term"), none.alias("load"))), F.struct(F.lit(0).cast("long").alias("term"), load.alias("load")))
-    long = each.select("block", "place", "kind", F.explode(marked).alias("m")).select("block", "place", "kind", "m.term", "m.load")
-    met = long.join(known, "term")
-    listed = F.array_sort(F.collect_list(F.nullif(F.col("term"), F.lit(0).cast("long"))))
-    found = met.groupBy("block", "place", "kind").agg(listed.alias("found"), F.first("load", ignorenulls=True).alias("load"))
-    found = found.select("block", "place", "kind", F.struct("load", subset_hashes(F.col("found"), F.col("load.whole")).alias("subsets")).alias("x"))
-    both = found.groupBy("block", "place").agg(F.first(F.when(F.col("kind") == 0, F.col("x")), ignorenulls=True).alias("a"), F.first(F.when(F.col("kind") == 1, F.col("x")), ignorenulls=True).alias("b"))
-    out = both.select("block", "place", "a.load.doc_id", "a.load.n_chars", "a.load.under_subsets", F.col("a.subsets").alias("own"), F.col("b.subsets").alias("changed"), F.col("b.load.sha").alias("edited_sha256"))
+    rows = rows.select("block", "place", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "under_subsets", "text", "edited")
+    out = _with_subsets(rows, words, {"own": F.col("text"), "changed": F.col("edited")}).drop("text", "edited")
     after = F.lead("own").over(Window.partitionBy("block").orderBy("place"))
     out = out.withColumn("after", F.coalesce(after, "under_subsets"))
     return out.select(
@@ -151,4 +179,4 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         spelled(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"),
-    )
+    )

@@ -338,28 +338,69 @@ def test_repeats_equal_brute_force(spark, awkward, nothing):
 # 6: fingerprints
 
 
-def test_fingerprints(documents, awkward, nothing):
-    for df in (documents, awkward.where("doc_id is not null").dropDuplicates(["doc_id"])):
-        rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), reverse=True)
-        got = {r.doc_id: r for r in imatch.edited_fingerprints(df).collect()}
-        assert len(got) == len(rows)
-        text, after = dict(rows), {rows[i][0]: rows[(i + 1) % len(rows)][0] for i in range(len(rows))}
-        same = collections.defaultdict(set)
-        for i, t in rows:
-            half = len(t) // 2
-            new = t[: len(t) - half] + text[after[i]][:half]
-            r = got[i]
-            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-            assert r.near_next == 1 or got[after[i]].fingerprint != r.fingerprint
-            assert (r.near_edited == 1) or r.edited_fingerprint != r.fingerprint
-            same[t].add(r.fingerprint)
-        assert all(len(v) == 1 for v in same.values())
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_prints(rows):
+    """For (doc_id, text) by descending id, null last, then descending text: the operator's rows, fingerprints as arrays."""
+    import xxhash
+
+    def xx(values, seed=42):
+        for v, size in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(size, "little", signed=True), seed=seed)
+        return signed(seed)
+
+    texts = [t for _, t in rows]
+    of = [{signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in words(t)} for t in texts]
+    n = collections.Counter(x for terms in of for x in terms)
+    lexicon = {x for x, c in n.items() if max(2, 0.001 * len(texts)) <= c <= 0.2 * len(texts)}
+
+    def subsets(text):
+        found = sorted(lexicon & {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in words(text)})
+        if not found:
+            return [signed(xxhash.xxh64_intdigest(text.encode(), seed=42)) if text else 0] * 32
+        out = []
+        for w in imatch.WIDTHS:
+            for seed in range(imatch.SEEDS):
+                hashes = [xx([(t, 8), (seed, 4)]) for t in found]
+                bits = ((1 << w) - 1) << sum(v for v in imatch.WIDTHS if v < w)
+                kept = [(h, 8) for h in hashes if not h & bits]
+                out.append(xx(kept) if kept else 0)
+        return out
+
+    def alike(a, b):
+        used = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+    own, out = [subsets(t) for t in texts], []
+    for i, (d, t) in enumerate(rows):
+        k = (i + 1) % len(rows)
+        half = len(t) // 2
+        new = t[: len(t) - half] + texts[k][:half]
+        changed = subsets(new)
+        spelled = ["".join(f"{x % 2**64:016x}" for x in s) for s in (own[i], changed)]
+        out.append((str(d), len(t), hashlib.sha256(new.encode()).hexdigest(), *spelled, round(alike(own[i], changed), 9), round(alike(own[i], own[k]), 9)))
+    return sorted(out)
+
+
+def test_fingerprints_equal_brute_force(spark, documents, awkward, nothing):
+    far = spark.createDataFrame([(i, f"some text number {i} of few words") for i in (-(2**63), -(2**40), -1, 0, 2**40, 2**62, 2**63 - 1)], "doc_id long, text string")
+    for df in (documents, awkward, far, awkward.where("doc_id is null"), awkward.limit(1)):
+        rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+        got = imatch.edited_fingerprints(df).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == brute_prints(rows)
     assert imatch.edited_fingerprints(nothing).count() == 0
     alone = {r.doc_id: r.fingerprint for r in imatch.fingerprints(documents).collect()}
     assert alone == {r.doc_id: r.fingerprint for r in imatch.edited_fingerprints(documents).collect()}
 
 
+def test_lexicon_table_is_a_value_not_a_column(documents):
+    """The table goes to tasks once; no row carries it."""
+    plan = imatch.edited_fingerprints(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "subquery" in plan.lower() and "_table" not in plan
+
+
 def test_lexicon_equals_brute_force(documents):
     import xxhash
 
