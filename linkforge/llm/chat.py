@@ -87,15 +87,22 @@ def read_back(formatted: Column, t: Template = CHATML) -> Column:
 
 
 def digests(formatted: DataFrame, t: Template = CHATML) -> DataFrame:
-    """What :func:`format_conversations` holds, read back: counts and digests of all turns and of the loss text."""
-    told = F.array_join(F.transform(read_back(F.col("formatted"), t), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "")
-    return formatted.select(
+    """What :func:`format_conversations` holds, read back: counts and digests of all turns and of the loss text.
+
+    Turns and loss text come out of ``formatted``; of ``segments`` only the loss flags are used. valid is
+    the automaton's verdict. Empty: empty.
+    """
+    flags = F.transform(F.filter("segments", lambda s, i: i % 3 == 1), lambda s: s["loss"])
+    back = formatted.select("conv_id", "valid", F.length("formatted").cast("long").alias("formatted_chars"), F.arrays_zip(read_back(F.col("formatted"), t).alias("turn"), flags.alias("loss")).alias("turns"))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["turn"]["role"], F.lit("\n"), x["turn"]["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["turn"]["text"]), "")
+    back = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), "formatted_chars", "valid")
+    return back.select(
         "conv_id",
-        F.size(read_back(F.col("formatted"), t)).cast("long").alias("n_turns"),
-        F.sha2(told, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "n_turns",
+        F.sha2("told", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
         "valid",
     )

@@ -42,8 +42,8 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_conversations(turns.unionByName(more))).drop("valid")
+    more = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS v(conv_id, turn, role, text)")
+    return chat.digests(chat.format_conversations(turns.unionByName(more)))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,13 @@ WITH k AS (
   FROM documents),
 d AS (SELECT k.*, r.depth, key // (1::BIGINT << (32 - r.depth)) AS head FROM k CROSS JOIN (SELECT unnest(range(0, 33)) AS depth) r),
 s AS (SELECT depth, head, sum(n_bytes) AS bytes FROM d GROUP BY depth, head),
-f AS (SELECT d.doc_id, d.n_bytes, d.key, min(d.depth) AS depth FROM d JOIN s USING (depth, head) WHERE s.bytes <= 1000000 GROUP BY d.doc_id, d.n_bytes, d.key)
-SELECT doc_id, n_bytes, depth::INTEGER AS depth, substr(lpad(bin(key), 32, '0'), 1, depth::INTEGER) AS shard FROM f
+f AS (SELECT d.doc_id, d.n_bytes, d.key, min(d.depth) FILTER (s.bytes <= 1000000) AS depth FROM d JOIN s USING (depth, head) GROUP BY d.doc_id, d.n_bytes, d.key),
+c AS (
+  SELECT f.*, n_bytes > 500000 AS big,
+         CASE WHEN n_bytes > 500000 THEN count(*) OVER w ELSE sum(n_bytes) OVER w // 500000 END AS part
+  FROM f JOIN documents USING (doc_id) WHERE depth IS NULL WINDOW w AS (PARTITION BY key, n_bytes > 500000 ORDER BY text, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, n_bytes, depth::INTEGER AS depth, substr(lpad(bin(key), 32, '0'), 1, depth::INTEGER) AS shard FROM f WHERE depth IS NOT NULL
+UNION ALL SELECT doc_id, n_bytes, 32, lpad(bin(key), 32, '0') || CASE WHEN big THEN '+b' ELSE '+s' END || part::BIGINT FROM c
 """,
     "op5_substring": f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
@@ -98,8 +103,9 @@ g AS (
   SELECT conv_id, count(*)::BIGINT AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid,
          sum(length('<|im_start|>') + length(replace({_escaped_sql('role')}, chr(10), '\\n')) + 1 + length({_escaped_sql('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
   FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, valid FROM g
 """,
 }
