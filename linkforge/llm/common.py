@@ -93,7 +93,22 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-WORD_BASE, BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BASE_A, BASE_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Hash values of every byte at the first places of a word; later places are hashed as they come.
+_PLACES = 64
+_BYTES = mix64(np.arange(_PLACES * 256, dtype=U64) + U64(0x9E3779B97F4A7C15))
+
+
+def byte_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each byte and its place in its word. Sums of these have no structure, as powers of a base have."""
+    if place.max(initial=0) < _PLACES:
+        return _BYTES[(place << 8) | data]
+    out = _BYTES[(np.minimum(place, _PLACES - 1) << 8) | data]
+    far = np.flatnonzero(place >= _PLACES)
+    out[far] = mix64((place[far].astype(U64) << U64(8)) + data[far] + U64(0x9E3779B97F4A7C15))
+    return out
+
+
 #: Marks bytes that separate words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -118,8 +133,6 @@ class Words:
             self.hash, self.text = np.empty(0, U64), np.empty(0, np.int64)
         else:
             quiet = blank if skip is None else blank | skip[data]
-            value = data.astype(U64) + U64(1)
-            value[quiet] = 0
             loud = ~quiet
             if skip is None:
                 place = np.arange(len(data), dtype=np.int64)
@@ -129,7 +142,8 @@ class Words:
                 seen = np.cumsum(loud) - loud
                 place = seen - np.repeat(np.append(0, seen[starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
             place[quiet] = 0
-            value *= powers(WORD_BASE, int(place.max()) + 1)[place]
+            value = byte_hashes(data, place)
+            value[quiet] = 0
             total = np.add.reduceat(value, starts)
             size = np.add.reduceat(loud.astype(np.int64), starts)
             text = np.searchsorted(ends, starts, "right")

@@ -9,21 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import BASE_A, BASE_B, U64, Words, chunks, materialize, mix64, partitions
+from linkforge.llm.common import U64, Words, chunks, materialize, partitions, slices
 
 WINDOW = 50
 #: Every window of 50 words holds a whole reference block of 25, wherever blocks begin.
 BLOCK = 25
-#: Entries that a bucket task gathers before it compacts them.
+#: Entries that a bucket task gathers before it compacts them; it waits until they are as many as those it keeps.
 GATHER = 1_000_000
-#: A document's hits come back in a row from each bucket that has some; few buckets would hide how many that are at scale.
-LEAST_BUCKETS = 128
+#: UTF-8 bytes of text whose windows make up a bucket, about: two million entries or so, whatever the size of the input.
+BUCKET_BYTES = 8_000_000
+#: Two 64-bit halves of a digest; numpy sorts and compares them as one value.
+DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
 _ENTRIES = "bucket int, docs binary, counts binary, keys binary, marks binary"
 
 
 def _pack(doc_ids: np.ndarray, text: np.ndarray, bucket: np.ndarray, key: np.ndarray, mark: np.ndarray | None):
     """One Arrow batch with a row per bucket: the ids present, entries of each, their keys and marks, without repeats."""
-    order = np.lexsort((key, text, bucket))
+    order = np.lexsort((key, text, bucket)) if key.dtype != DIGEST else np.lexsort((key["low"], key["high"], text, bucket))
     bucket, text, key = bucket[order], text[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (bucket[1:] != bucket[:-1]) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
@@ -61,7 +63,7 @@ def _probes(buckets: int):
     return run
 
 
-def _entries(batch: pa.RecordBatch, i: int, dtype: str):
+def _entries(batch: pa.RecordBatch, i: int, dtype):
     docs, counts, keys, marks = (batch.column(c)[i].as_py() for c in range(1, 5))
     key = np.frombuffer(keys, dtype)
     doc = np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4"))
@@ -78,17 +80,17 @@ def _told(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[heads], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
 
-def _by_bucket(compact, dtype: str):
+def _by_bucket(compact, dtype):
     """A mapInArrow function over rows sorted by bucket: gathers entries and compacts them, never a whole hot key."""
     def run(batches):
-        now, kept, size = None, [], 0
+        now, kept, size, held = None, [], 0, 0
         for batch in batches:
             for i, bucket in enumerate(batch.column(0).to_pylist()):
-                if kept and (bucket != now or size > GATHER):
+                if kept and (bucket != now or size > max(GATHER, held)):
                     out, rest = compact(now, *(np.concatenate(x) for x in zip(*kept, strict=True)))
                     if len(out[0]):
                         yield _told(*out)
-                    kept, size = ([rest], 0) if bucket == now else ([], 0)
+                    kept, size, held = ([rest], 0, len(rest[0])) if bucket == now else ([], 0, 0)
                 now = bucket
                 kept.append(_entries(batch, i, dtype))
                 size += len(kept[-1][0])
@@ -122,12 +124,21 @@ def _shared(bucket, key, doc, mark):
 
 def _later(bucket, key, doc, mark):
     """All entries but those of each key's smallest document, which alone stays."""
-    order = np.lexsort((doc, key))
+    order = np.lexsort((doc, key["low"], key["high"]))
     key, doc, mark = key[order], doc[order], mark[order]
     heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     least = np.repeat(doc[heads], np.diff(np.append(heads, len(key))))
     out = doc > least
-    return (doc[out], key[out].view(np.int64)), (key[heads], doc[heads], mark[heads])
+    return (doc[out], key[out]), (key[heads], doc[heads], mark[heads])
+
+
+def _digests(words: list[bytes], first: np.ndarray) -> np.ndarray:
+    """128-bit digests of the windows of words that begin there: of the words themselves, joined by one space."""
+    told = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words))) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    each = [hashlib.blake2b(told[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), ends[first + WINDOW - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(each), DIGEST)
 
 
 def _kept(words: list[bytes], removed: np.ndarray | None) -> tuple[int, int, str]:
@@ -178,33 +189,30 @@ def _in_runs(runs: list[int], n: int) -> np.ndarray:
 
 def _windows(buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 64):
             ids, texts, runs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
-                words = Words(texts[a:b])
-                h, at = words.windows(WINDOW)
-                other, _ = words.windows(WINDOW, BASE_B)
-                on = np.zeros(len(words.hash), bool)
+                key, text = [np.empty(0, DIGEST)], [np.empty(0, np.int64)]
                 for i in range(a, b):
-                    on[words.start[i - a] + _in_runs(runs[i], int(words.count[i - a]))] = True
-                pick = on[at]
-                yield _pack(ids[a:b], words.text[at[pick]], _parts(other[pick], buckets)[0], h[pick], None)
+                    words = _raw(texts[i])
+                    key.append(_digests(words, _in_runs(runs[i], len(words))))
+                    text.append(np.full(len(key[-1]), i - a))
+                key, text = np.concatenate(key), np.concatenate(text)
+                yield _pack(ids[a:b], text, _parts(key["high"], buckets)[0], key, None)
     return run
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in slices(batches, 64):
         texts, runs, founds = (batch.column(c).to_pylist() for c in (1, 2, 3))
         out, texts_out = [], []
         for text, run, found in zip(texts, runs, founds, strict=True):
             words = _raw(text)
             covered = np.zeros(len(words) + 1, np.int64)
             if found:
-                w = Words([text])
-                h, at = w.windows(WINDOW)
-                near = np.zeros(len(words), bool)
-                near[_in_runs(run, len(words))] = True
-                gone = at[np.isin(h.view(np.int64), np.frombuffer(b"".join(found), "<i8")) & near[at]]
+                first = _in_runs(run, len(words))
+                seen = set(np.frombuffer(b"".join(found), "V16").tolist())
+                gone = first[np.fromiter((x in seen for x in _digests(words, first).view("V16").tolist()), bool, len(first))]
                 np.add.at(covered, gone, 1)
                 np.add.at(covered, gone + WINDOW, -1)
             removed = np.cumsum(covered)[:-1] > 0
@@ -213,8 +221,8 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string()), pa.array(texts_out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def _dealt(entries: DataFrame, buckets: int, compact, dtype: str) -> DataFrame:
-    by_bucket = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+def _dealt(entries: DataFrame, buckets: int, compact, dtype) -> DataFrame:
+    by_bucket = entries.repartition(min(buckets, max(partitions(entries.sparkSession), buckets // 16)), "bucket").sortWithinPartitions("bucket")
     return by_bucket.mapInArrow(_by_bucket(compact, dtype), "doc_id long, found binary")
 
 
@@ -229,23 +237,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        Both meet by hash in buckets as packed arrays, each hash once per document; a hash that stands in
        two documents and is a block of one is a hit for all documents that hold it.
     2. Each document extends its hits to runs of windows of 50 words; documents without hits are done.
-    3. The windows of the runs meet by hash (64 bits, and independent bits that choose the bucket); all
-       but those of the smallest document go back to their documents, which drop the covered words.
-
-    A bucket task keeps one entry of a hash that many documents share, and no pairs are formed, so
-    time and memory are linear however many documents share a passage. Null and empty texts have no
+    3. The windows of the runs, which are the repeats at full length, meet by a 128-bit digest of their
+       words (blake2b, not the hash that chose the candidates); all but those of the smallest document
+       go back to their documents, which drop the covered words.
+
+    A bucket task keeps one entry of a hash that many documents share, and no pairs are formed. Buckets
+    are as many as the bytes of text ask for, so a task's memory is the same at every size, and time is
+    in proportion however many documents share a passage. A document's hits come back in one row from
+    each bucket that has some: with more buckets more rows, up to one for each hit. Null and empty texts have no
     words. Rows of one doc_id are one document to others, and each row is cut by itself; rows with a
     null doc_id neither lose words nor make others lose any. Other columns are ignored; empty: empty.
     """
     spark = docs.sparkSession
-    buckets = min(1 << 20, max(LEAST_BUCKETS, partitions(spark)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(min(1 << 31, max(16, size // BUCKET_BYTES)))
     base = docs.select("doc_id", "text")
     known = base.where("doc_id is not null")
     hits = _dealt(known.mapInArrow(_probes(buckets), _ENTRIES), buckets, _shared, "<u4")
     hits = materialize(hits.groupBy("doc_id").agg(F.collect_list("found").alias("found")), "hits")
     runs = materialize(base.join(hits, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_runs(buckets), "doc_id long, n_words long, kept_sha256 string, text string, runs array<int>"), "runs")
     open_ = runs.where("size(runs) > 0").select("doc_id", "text", "runs")
-    gone = _dealt(open_.mapInArrow(_windows(buckets), _ENTRIES), buckets, _later, "<u8").groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    gone = _dealt(open_.mapInArrow(_windows(buckets), _ENTRIES), buckets, _later, DIGEST).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
     cut = open_.join(gone, "doc_id", "left").select("doc_id", "text", "runs", "found").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     whole = runs.where("size(runs) = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return whole.unionByName(cut)

@@ -335,6 +335,36 @@ def test_repeats_equal_brute_force(spark, awkward, nothing):
     assert substring.remove_repeats(nothing).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    """A sequence on which polynomial hashes modulo a power of two agree with its opposite's."""
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_unequal_words_and_windows_of_equal_polynomial_hashes_stay(spark):
+    one, two = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    front, back = ([f"{x}{i}" for i in range(30)] for x in "fg")
+    rows = [(1, " ".join([*front, one, *back])), (2, " ".join([*front, two, *back]))]
+    rows += [(3, " ".join(thue_morse(4096, "x", "y"))), (4, " ".join(thue_morse(4096, "y", "x"))), (5, " ".join(thue_morse(64, "u", "v"))), (6, " ".join(thue_morse(64, "v", "u")))]
+    got = {r.doc_id: (r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got.values()) == brute_repeats(rows) and got[2][2] == 0
+
+
+def test_buckets_compact_in_proportion(monkeypatch):
+    """A bucket of distinct entries is sorted a few times, however many pieces it comes in."""
+    import numpy as np
+
+    monkeypatch.setattr(substring, "GATHER", 100)
+    sorted_, rng = [], np.random.default_rng(3)
+
+    def compact(bucket, key, doc, mark):
+        sorted_.append(len(key))
+        return substring._shared(bucket, key, doc, mark)
+
+    pieces = [substring._pack(np.array([i]), np.zeros(50, np.int64), np.zeros(50, np.int64), rng.integers(1 << 32, size=50).astype(np.uint32), np.zeros(50, bool)) for i in range(400)]
+    list(substring._by_bucket(compact, "<u4")(iter(pieces)))
+    assert sum(sorted_) < 6 * 400 * 50
+
+
 # 6: fingerprints
 
 
