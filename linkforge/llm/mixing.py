@@ -72,13 +72,15 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     into blocks of ``block_words``. A source fills floor(target) words of the mix with slots: slot k of
     pass e takes the block to which the source's permutation for that pass takes k, the source's short
     last block comes last, and the last slot is cut to the exact count, so no word is taken more than
-    ``most`` times (rounded up). All slots are dealt to output shards of about ``shard_slots`` slots by
-    an independent uniform draw each: the counts of a source over the shards are multinomial, given
-    its total. Slots and the documents' pieces meet by block index.
+    ``most`` times (rounded up). Output shards have ``shard_slots`` slots each, the last one fewer. Every
+    slot of the mix goes to the place of the output to which one more permutation, of all slots, takes
+    it, so a shard's source counts are a multinomial draw under the condition that the sources' totals
+    over all shards are exact (see :func:`shard_counts`). Slots and the documents' pieces meet by block
+    index.
 
     Returns (rows, sources, pieces): rows has doc_id, row_hash, row_no, source, size of every document;
     sources is :func:`targets`; pieces has one row per document part taken: doc_id, row_hash, row_no,
-    pass, shard, slot, first (word of the document, from 0), words. Null and empty texts have size 0
+    pass, shard, slot (its place in the shard, from 0), first (word of the document, from 0), words. Null and empty texts have size 0
     and no piece; null is a source of its own; a repeated row counts once for each time. Empty: empty.
 
     Shuffles only ids and counts. A source's stream positions are prefix sums in two steps, by hash
@@ -105,8 +107,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("whole", F.floor(F.col("source_size") / block))
     s = s.withColumn("passes", F.floor(F.col("words") / F.col("source_size"))).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
+    s = s.withColumn("slots_before", F.sum("slots").over(Window.orderBy("src")) - F.col("slots"))
     n_slots = s.agg(F.sum("slots")).first()[0] or 0
-    n_shards = max(1, round(n_slots / shard_slots))
     step = 4096
     dealt = s.where("slots > 0").withColumn("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long"))))
     # A fixed number of partitions: the few heads would else be merged into one task before they unfold.
@@ -117,22 +119,30 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: floa
         "src", "pass", "at",
         F.when(F.col("k") < F.col("whole"), permuted(F.col("k"), F.col("whole"), *key)).otherwise(F.col("k")).alias("block"),
         F.when(F.col("pass") < F.col("passes"), block).otherwise(F.least(block, F.col("rest") - F.col("k") * block)).alias("take"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "src", "at"), F.lit(n_shards)).alias("shard"),
+        permuted(F.col("slots_before") + F.col("at"), F.lit(max(1, n_slots)).cast("long"), F.lit(seed + 1)).alias("place"),
     )
     met = parts.hint("merge").join(taken.hint("merge"), ["src", "block"])
     start = F.greatest(F.col("off"), F.col("block") * block)
     stop = F.least(F.col("off") + F.col("size"), F.col("block") * block + F.col("take"))
-    pieces = met.select("doc_id", "row_hash", "row_no", "src", "pass", "shard", F.col("at").alias("slot"), (start - F.col("off")).alias("first"), (stop - start).alias("words")).where("words > 0")
+    pieces = met.select("doc_id", "row_hash", "row_no", "src", "pass", F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), (start - F.col("off")).alias("first"), (stop - start).alias("words")).where("words > 0")
     return rows, sources, pieces
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target (its source's), taken (words in the mix)."""
+    """Per row of docs: doc_id, size, source_size, target (its source's), taken (words in the mix), pieces, first_shard.
+
+    pieces counts the runs of words taken; first_shard is the first output shard that holds one (null: none).
+    """
     rows, sources, pieces = mix(docs, **options)
-    took = pieces.groupBy("doc_id", "row_hash", "row_no").agg(F.sum("words").alias("taken"))
+    took = pieces.groupBy("doc_id", "row_hash", "row_no").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("pieces"), F.min("shard").alias("first_shard"))
     of = small(sources)
     out = rows.join(of, rows["source"].eqNullSafe(of["source"])).drop(of["source"])
-    return joined(out, took, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return joined(out, took, "left").select("doc_id", "size", "source_size", "target", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("taken", "pieces")], "first_shard")
+
+
+def shard_counts(pieces: DataFrame) -> DataFrame:
+    """(shard, src, slots): the drawn number of slots of each source in each output shard of :func:`mix`'s pieces."""
+    return pieces.select("shard", "src", "slot").distinct().groupBy("shard", "src").agg(F.count(F.lit(1)).alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -171,6 +171,24 @@ def test_mix_documents(documents):
     check_mix(documents)
 
 
+def test_shards_are_full_and_drawn(spark):
+    """Shards have equal numbers of slots; their source counts spread as multinomial draws do, and add up exactly."""
+    rows = [(i, " ".join(f"w{k}" for k in range(90)), "abc"[i % 3]) for i in range(900)]
+    _, sources, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=10, shard_slots=100)
+    slots = pieces.select("shard", "slot", "src").distinct().collect()
+    per = collections.Counter(r.shard for r in slots)
+    assert len({(r.shard, r.slot) for r in slots}) == len(slots) and set(range(len(per))) == set(per)
+    assert all(per[s] == 100 for s in range(len(per) - 1)) and per[len(per) - 1] <= 100
+    counts = {(r.shard, r.src): r.slots for r in mixing.shard_counts(pieces).collect()}
+    need = {r.src: -(-int(r.target) // 10) for r in sources.collect()}
+    for src, n in need.items():
+        own = [counts.get((s, src), 0) for s in range(len(per) - 1)]
+        assert abs(sum(own) + counts.get((len(per) - 1, src), 0) - n) <= 2
+        share = n / len(slots)
+        spread = sum((x - 100 * share) ** 2 for x in own) / len(own) / (100 * share * (1 - share))
+        assert 0.6 < spread < 1.5
+
+
 def test_mix_awkward(awkward, nothing):
     check_mix(awkward.where("doc_id is not null"))
     assert mixing.taken_words(nothing).count() == 0
