@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as markup
 import re
 from bisect import bisect_left, bisect_right
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,8 @@ from linkforge.llm.common import partitions
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+_PART = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -29,16 +30,34 @@ _NESTED = (_BLOCK | _DROPPED) - frozenset("p li dt dd hr tr option optgroup".spl
 _AROUND = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar comment comments commentlist disqus respond reply replies nav navbar navigation menu menubar breadcrumb breadcrumbs share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar masthead contentinfo complementary search dialog footer paywall".split()
 )
+#: Words that say where or in what form something stands, not what it is: a name is one of the above only if all its parts are, or these.
+_FORM = frozenset("area bar block body bottom box btn button buttons container content count fixed footer form group header heading holder icon icons inline inner item items left link links list main message middle outer panel right row section side slot small sticky text thread title top tree unit wrap wrapper".split())
+_READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _PAGE_HEAD = frozenset("header topbar".split())
 #: Pages on either side, in URL order, that a page is differenced against.
 REACH = 2
 #: A page that shares this part of another's characters is its copy, and can't tell what is boilerplate there.
 COPY = 0.8
+#: UTF-8 bytes of html that make up a bucket, and a task of some buckets, about.
+BUCKET_BYTES, TASK_BYTES = 4_000_000, 64_000_000
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _named(value: str, words: frozenset) -> bool:
+    """Whether one of the names in a class, id or role attribute is one of the words, alone or with words of form."""
+    for name in value.split():
+        parts = _PART.findall(_CAMEL.sub(" ", name).lower())
+        told = [x for x in parts if not x.isdigit()]
+        if any(x in words for x in told) and all(x in words or x in _FORM for x in told):
+            return True
+    return False
+
+
 def _around(tag: str, raw: str, in_main: bool) -> bool:
-    """Whether an element is something around the article: by its name, or by class, id, role or style."""
+    """Whether an element is something around the article: by its name, or by class, id, role or style.
+
+    An article or main element is not judged by its names, unless they say that it is a reader's comment.
+    """
     if tag in _DROPPED or tag == "header" and not in_main:
         return True
     if not raw or not raw.strip(" /"):
@@ -46,14 +65,13 @@ def _around(tag: str, raw: str, in_main: bool) -> bool:
     low = raw.lower()
     if not any(x in low for x in ("class", "id", "role", "hidden", "style")):
         return False
+    words = _READERS if tag in _MAIN else _AROUND if in_main else _AROUND | _PAGE_HEAD
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and tag not in ("body", "html"):
-            words = set(_NAME.findall(value.lower()))
-            if words & _AROUND or not in_main and words & _PAGE_HEAD:
-                return True
+        if name in ("class", "id", "role") and tag not in ("body", "html") and _named(value, words):
+            return True
     return False
 
 
@@ -66,11 +84,12 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
     page = page or ""
     lines, mains, buffer = [], [], []
     stack: list[tuple[str, bool, bool]] = []
+    standing: Counter = Counter()
     dropped = main = breaks = at = 0
 
     def flush() -> None:
         if buffer:
-            text = " ".join(markup.unescape("".join(buffer)).split())
+            text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
                 lines.append(text)
@@ -79,7 +98,7 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
     while True:
         m = _TOKEN.search(page, at)
         if not dropped and (text := page[at : m.start() if m else len(page)]):
-            buffer.append(text)
+            buffer.append(markup.unescape(text) if "&" in text else text)
             if not text.isspace():
                 breaks = 0
         if m is None:
@@ -93,10 +112,11 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
             flush()
             breaks = 0
         if closing:
-            if any(x[0] == tag for x in stack):
+            if standing[tag]:
                 flush()
                 while True:
                     name, was_dropped, was_main = stack.pop()
+                    standing[name] -= 1
                     dropped -= was_dropped
                     main -= was_main
                     if name == tag:
@@ -122,6 +142,7 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
             if around:
                 flush()
             stack.append((tag, around, is_main))
+            standing[tag] += 1
             dropped += around
             main += is_main
     flush()
@@ -281,8 +302,9 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select(url_key(F.col("url")).alias("key"), "page_id", "url", "html")
     keys = rows.select("key", "page_id")
-    buckets = 4 * partitions(spark)
-    n = keys.count()
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    tasks = max(partitions(spark), size // TASK_BYTES)
+    buckets = max(4 * tasks, size // BUCKET_BYTES)
     share = min(1.0, 40 * buckets / max(n, 1))
     sample = sorted((r.key, _order(r.page_id)) for r in keys.sample(share, 5).toLocalIterator()) if n > 100 * buckets or n > 2000 else []
     step = max(1, len(sample) // buckets)
@@ -302,5 +324,5 @@ def extract(pages: DataFrame) -> DataFrame:
             for x in places[:REACH]:
                 also.setdefault(x, []).append(b)
     parsed = rows.select("key", "page_id", "url", "html").mapInArrow(_parsed(cuts, also), _LINES)
-    dealt = parsed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key", "id", "context")
+    dealt = parsed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "id", "context")
     return dealt.mapInArrow(_differenced, "page_id long, url string, text string, n_chars long")

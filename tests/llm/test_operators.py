@@ -3,6 +3,7 @@ import collections
 import gzip
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -265,6 +266,88 @@ def test_differencing_decides_inside_and_outside_articles(spark):
     assert got[30] == "Head 9\n\nSubscribe today\n\nLong story number 9 told here"
 
 
+def brute_common(a, b):
+    """Positions in a of the longest common subsequence of a and b: of several, that with the first ends in b, then in a."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1] and best[i][j] == best[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def brute_pages(rows):
+    """Main texts of (page_id, url, html), page by page from the whole list of its host, with a plain common subsequence."""
+    from urllib.parse import urlsplit
+
+    hosts = collections.defaultdict(list)
+    for i, url, html in rows:
+        hosts[urlsplit(url).netloc.lower()].append((urlsplit(url).path, i, *pagediff.blocks(html)))
+    out = {}
+    for pages in hosts.values():
+        pages.sort(key=lambda p: (p[0].encode(), p[1]))
+        for k, (path, i, lines, mains) in enumerate(pages):
+            sides = [pages[max(0, k - 2) : k][::-1], pages[k + 1 : k + 3]]
+            same = [len(os.path.commonprefix([path, side[0][0]])) if side else -1 for side in sides]
+            others = [p[2] for side in (sides[::-1] if same[1] > same[0] else sides) for p in side]
+            size = [len(x) for x in lines]
+            if not any(mains):
+                shared = set(brute_common(lines, others[0])) if others else set()
+                kept = [x for n, x in enumerate(lines) if n not in shared or len(shared) == len(lines)]
+            else:
+                votes, said = collections.Counter(), 0
+                inside = sum(n for n, m in zip(size, mains, strict=True) if m)
+                for other in others:
+                    shared = brute_common(lines, other)
+                    if sum(size[n] for n in shared) >= 0.8 * sum(size) or (2 * inside >= sum(size) and sum(size[n] for n in shared if mains[n]) >= 0.8 * inside):
+                        continue
+                    said += 1
+                    votes.update(shared)
+                kept = [x for n, (x, m) in enumerate(zip(lines, mains, strict=True)) if (votes[n] < 2 if m else said and not votes[n])]
+            out[i] = "\n\n".join(kept)
+    return out
+
+
+def test_pages_equal_brute_force(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    # The same pages with the article's mark gone, and with a line that all of a host's articles hold.
+    bare = [(i + 10**6, u.replace("://", "://bare.", 1), re.sub("</?(article|main)[^>]*>", "", h)) for i, u, h in rows]
+    more = [(i + 2 * 10**6, u.replace("://", "://more.", 1), h.replace("<article>", f"<article><p>A promise of {u.split('/')[2]}</p>")) for i, u, h in rows]
+    got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows + bare + more, "page_id long, url string, html string")).collect()}
+    want = brute_pages(rows + bare + more)
+    assert got == want
+    # Where a host has three pages or more the added line goes, and nothing else.
+    assert sum(want[i + 2 * 10**6] == want[i] for i, _, _ in rows) >= 10
+
+
+def test_names_of_elements_in_articles():
+    def kept(mark):
+        return pagediff.main_text(*pagediff.blocks(f"<article><p>One line of the story</p>{mark}</article><p>foot</p>"), [])
+
+    for mark in ("div id='discussion-comment-period'", "div class='related-work'", "section class='social-science'", "div class='adapter advertise-free'", "p class='lead shareholder'"):
+        assert kept(f"<{mark}>Two</{mark.split()[0]}>").endswith("Two"), mark
+    for mark in ("div class='comments'", "div id='comment-12'", "div class='x ad-slot'", "section class='cookieBanner'", "div class='share-buttons'", "article class='comment'", "div class='notice'", "ul class='breadcrumb-list'"):
+        assert kept(f"<{mark}>Two</{mark.split()[0]}>") == "One line of the story", mark
+    assert pagediff.main_text(*pagediff.blocks("<article class='post social'><p>Kept</p></article>"), []) == "Kept"
+    assert pagediff.blocks("<p>AT&am<b>p;</b>T &amp;<i>lt;</i> &lt;x&gt;</p>")[0] == ["AT&amp;T &lt; <x>"]
+
+
+def test_long_and_deep_pages():
+    """Time in proportion: many open elements and many lines, all alike."""
+    assert pagediff.blocks("<div><span>" * 50_000 + "deep" + "</p>" * 50_000)[0] == ["deep"]
+    many = ["same", *(f"line {i}" for i in range(20_000))]
+    assert len(pagediff.common_lines(many, many[::2])) == len(many[::2])
+
+
 def test_cut_points_change_no_result_in_articles(spark, monkeypatch):
     rows = [(i, f"http://h.org/a/{i * 7919 % 10007}", f"<body><article><p>same {i % 2}</p><p>own {i}</p><p>all</p></article></body>") for i in range(3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
