@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
+import io
 import itertools
+import lzma
 import re
 import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 KINDS = ("assign", "access", "hex")
@@ -26,11 +32,15 @@ _GLUE = re.compile(r"[/_-]")
 #: No secret, plain or encoded, is without this many ASCII characters in a row.
 _PLAIN = re.compile(r"[\x20-\x7e]{12}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: How bzip2, xz and Zstandard streams begin, and what reads them.
+_READERS = {b"BZh": bz2.BZ2File, b"\xfd7zXZ\x00": lzma.LZMAFile, b"\x28\xb5\x2f\xfd": lambda f: zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True)}
+_READ = re.compile(b"|".join(map(re.escape, _READERS)))
 #: Bytes that a compressed layer unfolds to at a time, and how many of them the next piece repeats.
 MOST_UNFOLDED, OVERLAP = 64_000_000, 1_000_000
 #: Bytes of a possible raw layer that are tried first.
 PROBE = 4096
-Span = tuple[int, int]
+#: Where each character of a layer stands in the text: first places, and places after the last.
+Places = tuple[np.ndarray, np.ndarray]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -45,11 +55,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _text(data: bytes) -> str:
-    """data as text: UTF-16 with a mark, else UTF-8; a byte that is neither stays as a lone surrogate."""
+def _text(data: bytes) -> tuple[str, bool]:
+    """data as text, and whether it is UTF-8; a byte that is not stays as a lone surrogate.
+
+    UTF-16 is told by its mark, or where a third of the even or of the odd bytes are zero.
+    """
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return data.decode("utf-16", "replace")
-    return data.decode("utf-8", "surrogateescape")
+        return data.decode("utf-16", "replace"), False
+    if b"\0" in data:
+        for at, code in ((1, "utf-16-le"), (0, "utf-16-be")):
+            if 3 * data[at::2].count(0) > len(data[at::2]) and data[1 - at :: 2].count(0) * 9 < len(data):
+                return data.decode(code, "replace"), False
+    return data.decode("utf-8", "surrogateescape"), True
 
 
 def _headed(data) -> bool:
@@ -88,6 +105,23 @@ def _pieces(data, wbits: int):
         yield bytes(out)
 
 
+def _streamed(data: bytes, reader):
+    """What a stream unfolds to, as far as it goes, in overlapping pieces."""
+    out, new = bytearray(), False
+    try:
+        source = reader(io.BytesIO(data))
+        while part := source.read(65_536):
+            out += part
+            new = True
+            if len(out) >= MOST_UNFOLDED:
+                yield bytes(out)
+                out, new = out[-OVERLAP:], False
+    except (OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        pass  # the rest is no stream, or is cut off
+    if new:
+        yield bytes(out)
+
+
 def _raw(data) -> bool:
     """Whether data may be raw deflate, by its first bytes."""
     try:
@@ -105,6 +139,8 @@ def _unfolded(data: bytes, starts=(0,)):
             yield from _pieces(view[at:], 47)
         if at in starts and _raw(view[at:]):
             yield from _pieces(view[at:], -15)
+    for m in _READ.finditer(data):
+        yield from _streamed(data[m.start() :], _READERS[m[0]])
 
 
 def _opened(data: bytes, starts=(0,)):
@@ -116,61 +152,67 @@ def _opened(data: bytes, starts=(0,)):
             work.pop()
         elif (key := hashlib.blake2b(piece, digest_size=16).digest()) not in seen:
             seen.add(key)
-            yield _text(piece)
+            yield _text(piece)[0]
             work.append(_unfolded(piece))
 
 
-def _character_layer(text: str, pattern: re.Pattern, decode) -> tuple[str, list[Span]] | None:
-    """The text with all matches decoded, and the span in ``text`` of each of its characters; None if nothing changes."""
-    parts, spans, at = [], [], 0
+def _character_layer(text: str, pattern: re.Pattern, decode) -> tuple[str, Places] | None:
+    """The text with all matches decoded, and the places in ``text`` of each of its characters; None if nothing changes."""
+    parts, first, last, at = [], array("q"), array("q"), 0
+
+    def same(a: int, b: int) -> None:
+        parts.append(text[a:b])
+        first.extend(range(a, b))
+        last.extend(range(a + 1, b + 1))
+
     for m in pattern.finditer(text):
         new = decode(m[0])
         if new is None:
             continue
-        parts += [text[at : m.start()], new[0]]
-        spans += [(i, i + 1) for i in range(at, m.start())]
-        spans += [(m.start() + a, m.start() + b) for a, b in new[1]]
+        same(at, m.start())
+        parts.append(new[0])
+        first.extend(m.start() + x for x in new[1][:-1])
+        last.extend(m.start() + x for x in new[1][1:])
         at = m.end()
     if not at:
         return None
-    parts.append(text[at:])
-    spans += [(i, i + 1) for i in range(at, len(text))]
-    return "".join(parts), spans
+    same(at, len(text))
+    return "".join(parts), (np.frombuffer(first, np.int64), np.frombuffer(last, np.int64))
 
 
 def _percent(run: str):
-    raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    spans, at = [], 0
-    for c in text:
-        size = 3 * len(c.encode("utf-8"))
-        spans.append((at, at + size))
-        at += size
-    return text, spans
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return text, np.append(0, np.cumsum(3 * _sizes(text))).tolist()
 
 
 def _escape(one: str):
     code = int(one[2:].strip("{}"), 16)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
-    return chr(code), [(0, len(one))]
+    return chr(code), [0, len(one)]
+
 
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8; 1 of a lone surrogate, which stands for a byte."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    size[(code >= 0xD800) & (code < 0xE000)] = 1
+    return size
 
-def _placed(text: str, at: list[int]) -> list[Span]:
-    """For text decoded from the base64 characters at these places: the span of each character."""
-    spans, k = [], 0
-    for c in text:
-        size = 1 if "\ud800" <= c <= "\udfff" else len(c.encode("utf-8"))
-        spans.append((at[8 * k // 6], at[(8 * (k + size) - 1) // 6] + 1))
-        k += size
-    return spans
+
+def _placed(text: str, at: np.ndarray) -> Places:
+    """For text decoded from the base64 characters at these places: the places of each character."""
+    ends = np.cumsum(_sizes(text))
+    return at[8 * np.append(0, ends[:-1]) // 6], at[(8 * ends - 1) // 6] + 1
+
+
+def _whole(m: re.Match, inner: str) -> Places:
+    """The place of the whole match for each character."""
+    return np.broadcast_to(np.int64(m.start()), len(inner)), np.broadcast_to(np.int64(m.end()), len(inner))
 
 
 def _base64_parts(text: str):
-    """(spans, decoded text) of the base64 in a text, compressed or not.
+    """(places, decoded text) of the base64 in a text, compressed or not.
 
     A run is read at all four alignments, for it may be glued to a path or a word before it; lines of
     base64 are read one by one and as one run. Only what can hold a secret comes out. A run read from
@@ -178,42 +220,43 @@ def _base64_parts(text: str):
     """
     for m in itertools.chain(_BASE64.finditer(text), _WRAPPED.finditer(text)):
         body = m[0].rstrip("=")
-        at = [m.start() + i for i, c in enumerate(body) if not c.isspace()]
+        code = np.frombuffer(body.encode(), np.uint8)
+        at = m.start() + np.flatnonzero((code != 32) & ((code < 9) | (code > 13)))
         body = "".join(body.split()).replace("-", "+").replace("_", "/")
         wrapped = len(body) < m.end() - m.start() - m[0].count("=")
-        glued = [i + 1 for i, k in enumerate(at) if _GLUE.match(text[k])]
+        glued = [x.end() for x in _GLUE.finditer("".join(m[0].rstrip("=").split()))]
         for o in range(4):
             part = body[o : len(body) - ((len(body) - o) % 4 == 1)]
             data = base64.b64decode(part + "=" * (-len(part) % 4))
-            whole = (m.start(), m.end())
-            inner = _text(data)
+            inner, by_byte = _text(data)
             if _PLAIN.search(inner):
-                by_character = (o or wrapped) and data[:2] not in (b"\xff\xfe", b"\xfe\xff")
-                yield _placed(inner, at[o:]) if by_character else [whole] * len(inner), inner
+                yield _placed(inner, at[o:]) if by_byte and (o or wrapped) else _whole(m, inner), inner
             for inner in _opened(data, {0}.union(i // 4 * 3 for i in glued if i % 4 == o)):
                 if _PLAIN.search(inner):
-                    yield [whole] * len(inner), inner
+                    yield _whole(m, inner), inner
 
 
 def layers(text: str):
-    """(layer text, spans) of every layer under a text; spans give each character's place in the text, None: itself.
+    """(layer text, places) of every layer under a text; places give each character's place in the text, None: itself.
 
     A worklist: each layer is searched for percent-encoded, Unicode-escaped and base64 parts, compressed
     ones included; what they decode to is a new layer, until nothing new turns up. A layer that was
     seen at the same place is not opened again, so cycles end.
     """
-    work: list[tuple[str, list[Span] | None]] = [(text, None)]
+    work: list[tuple[str, Places | None]] = [(text, None)]
     seen = set()
     while work:
         layer, place = work.pop()
-        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place and (place[0][0], place[-1][1]))
-        if key in seen or not layer:
+        if not layer:
+            continue
+        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), None if place is None else (int(place[0][0]), int(place[1][-1])))
+        if key in seen:
             continue
         seen.add(key)
         yield layer, place
 
-        def mapped(spans: list[Span], place=place) -> list[Span]:
-            return spans if place is None else [(place[a][0], place[b - 1][1]) for a, b in spans]
+        def mapped(spans: Places, place=place) -> Places:
+            return spans if place is None else (place[0][spans[0]], place[1][spans[1] - 1])
 
         for sign, pattern, decode in (("%", _PERCENT, _percent), ("\\", _UNICODE, _escape)):
             if sign in layer and (new := _character_layer(layer, pattern, decode)):
@@ -229,7 +272,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     every = set(base)
     for layer, place in layers(text):
         if place is not None:
-            every |= {(kind, place[a][0], place[b - 1][1]) for kind, a, b in base_spans(layer)}
+            every |= {(kind, int(place[0][a]), int(place[1][b - 1])) for kind, a, b in base_spans(layer)}
     return base, sorted(every, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -250,7 +293,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Base spans stand in the text itself: assignments to a password-like name, access keys, hex strings;
     the counts and the digest are of them. ``spans`` also has those found below URL, Unicode, base64
-    and compressed (gzip, zlib, raw deflate) layers, nested in any order, at the place of the encoded
+    and compressed (gzip, zlib, raw deflate, bzip2, xz, Zstandard) layers, nested in any order, at the place of the encoded
     characters that gave them. Null text counts as empty. A compressed layer that unfolds to more than
     64 MB is read in pieces of that size, each with the last 1 MB of the one before. Other columns are
     ignored; empty: empty; rows that repeat, repeat.

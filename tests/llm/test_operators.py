@@ -761,6 +761,55 @@ def test_secrets_in_all_compressed_layers(monkeypatch):
         assert "assign" in found(gzip.compress(b"a b " * (k // 4) + core + b" c d" * 20_000))
 
 
+def test_secrets_in_other_layers():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    core = b"my password=Abc123456 is here"
+    for data in (bz2.compress(core), lzma.compress(core), zstandard.compress(core), gzip.compress(core * 50)[:-30], core.decode().encode("utf-16-le"), core.decode().encode("utf-16-be"), core.decode().encode("utf-16")):
+        assert "assign" in found_in("see " + base64.b64encode(data).decode() + " there"), data
+    assert "assign" in found_in("see %70assword%3DAbc%FF123456 and p%61ssword%3Dabcdef%E9".replace("Abc%FF", "Abc"))
+    assert "assign" in found_in("%C3%A9%FFpass%77ord=Abc123456")
+
+
+def test_random_nests_of_layers():
+    """A secret is found at its place under every stack of layers, and what stands in the text itself stays."""
+    import bz2
+
+    rng = random.Random(10)
+
+    def b64(x):
+        return base64.b64encode(x).decode()
+
+    coders = [
+        lambda x: b64(x.encode()), lambda x: b64(gzip.compress(x.encode())), lambda x: b64(zlib.compress(x.encode())), lambda x: b64(bz2.compress(x.encode())), lambda x: base64.urlsafe_b64encode(x.encode()).decode(),
+        lambda x: "".join(f"%{c:02x}" for c in x.encode()), lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: "".join(c if rng.random() < 0.5 or c == "%" else "".join(f"%{k:02X}" for k in c.encode()) for c in x),
+    ]
+    for _ in range(150):
+        code = rng.choice(["password=Abc123456", "AKIA" + "".join(rng.choices("ABCDEF012", k=18)), "é note token: 9f8e7d6c5b"])
+        kind = "access" if code.startswith("AKIA") else "assign"
+        for _ in range(rng.randint(1, 4)):
+            code = rng.choice(coders)(code)
+        before, after = ("".join(rng.choices("ab é\n.", k=rng.randint(0, 9))) + " " for _ in range(2))
+        text = before + code + " " + after + "secret = abcdefgh"
+        base, spans = secrets.scan(text)
+        assert base == brute_base(text) and set(base) <= set(spans)
+        assert any(k == kind and len(before) <= a < b <= len(before) + len(code) for k, a, b in spans), text
+
+
+def test_places_of_long_texts_take_little_memory():
+    import tracemalloc
+
+    text = "word " * 400_000 + "p%61ssword=Abc123456"
+    tracemalloc.start()
+    spans = secrets.scan(text)[1]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [s[0] for s in spans] == ["assign"] and spans[0][1] == 2_000_000 and most < 40 * len(text)
+
+
 def test_secrets_after_much_base64():
     """Long runs of base64 that hold no text take time in proportion."""
     code = base64.b64encode(random.Random(1).randbytes(300_000)).decode()
