@@ -656,6 +656,36 @@ def test_language_of_held_out_documents(documents):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in got.collect())
 
 
+def brute_grams(text):
+    """All 3- and 4-grams of lower-case letters and word edges, edges only at the ends."""
+    low, out = (text or "").lower(), collections.Counter()
+    marked = "#" + re.sub(r"#+", "#", "".join(c if c.isalpha() else "#" for c in low)).strip("#") + "#"
+    for n in (3, 4):
+        for i in range(len(marked) - n + 1):
+            if "#" not in marked[i + 1 : i + n - 1]:
+                out[marked[i : i + n]] += 1
+    return out
+
+
+def test_languages_equal_brute_force(documents):
+    """Exact sets of n-grams in place of the filters give the same languages, and scores that differ by a false claim or two."""
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    own = [r for r in rows if r[2] is not None and r[1] is not None and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    taken, seen = collections.Counter(r[2] for r in own), collections.defaultdict(collections.Counter)
+    for _, text, lang in own:
+        seen[lang].update(brute_grams(text).keys())
+    sets = {lang: {g for g, n in c.items() if n >= max(2, int(0.05 * taken[lang]))} for lang, c in seen.items()}
+    got = {r.doc_id: r for r in langid.identify(documents, langid.learn(documents)).collect()}
+    for i, text, _ in rows:
+        grams = brute_grams(text)
+        total = sum(grams.values())
+        share = {lang: sum(n for g, n in grams.items() if g in s) / max(1, total) for lang, s in sorted(sets.items())}
+        best = max(share, key=share.get) if any(c.isalpha() for c in text or "") else "und"
+        close = best != "und" and sorted(share.values())[-1] - sorted(share.values())[-2] < 0.01
+        assert got[i].lang_pred == best or close, i
+        assert abs(got[i].score - share.get(best, 0)) < 0.01 + 2 / max(1, total), i
+
+
 def test_language_of_awkward_rows(documents, awkward, nothing):
     filters = langid.learn(documents)
     got = langid.identify(awkward, filters).collect()
