@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,51 +11,78 @@ from pyspark.sql.types import DoubleType
 from linkforge.functions.text import compact, grams, has_devanagari, has_non_ascii, tokens
 
 
-def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro similarity, raised by up to four common first characters where it is over 0.7."""
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, first = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                first.append(c)
-                break
-    m = len(first)
-    if not m:
-        return 0.0
-    second = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(first, second, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
-
-
-def indel_of(a: str, b: str) -> float:
-    """2 LCS / (|a| + |b|), with the common subsequence counted in the bits of one integer."""
-    if not a or not b:
-        return 0.0
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    mask = (1 << len(a)) - 1
-    row = mask
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & mask
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+#: Cells of one side's character table that one numpy step holds.
+CELLS = 2_000_000
+
+
+def _tables(a: list[str], b: list[str]):
+    """Parts (rows, codes of a, lengths, codes of b, lengths) of pairs of non-empty strings, of similar lengths; 0 and -1 fill up."""
+    size = [(max(len(x), len(y)), i) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and y]
+    size.sort()
+    at = 0
+    while at < len(size):
+        end = at + 1
+        while end < len(size) and size[end][0] * (end + 1 - at) <= CELLS:
+            end += 1
+        rows = np.array([i for _, i in size[at:end]])
+        out = []
+        for side, fill in ((a, 0), (b, -1)):
+            texts = [side[i] for i in rows]
+            n = np.array([len(x) for x in texts])
+            codes = np.full((len(rows), n.max()), fill, np.int32)
+            codes[np.arange(n.max()) < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+            out += [codes, n]
+        yield rows, *out
+        at = end
+
+
+def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro similarity of a[i] and b[i], raised by up to four common first characters where it is over 0.7; 0 where one is empty."""
+    result = np.zeros(len(a))
+    for rows, left, n, right, m in _tables(a, b):
+        reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+        place = np.arange(right.shape[1])
+        free = place < m[:, None]
+        matched = np.zeros(left.shape, bool)
+        every = np.arange(len(rows))
+        for i in range(left.shape[1]):  # each character takes the first free equal one within reach
+            fits = free & (right == left[:, i : i + 1]) & (np.abs(place - i) <= reach[:, None]) & (i < n)[:, None]
+            first = fits.argmax(1)
+            hit = fits[every, first]
+            matched[:, i] = hit
+            free[every[hit], first[hit]] = False
+        taken = ~free & (place < m[:, None])
+        common = matched.sum(1)
+        # The matched characters of both sides in their order, one list after another, are equally many.
+        apart = np.bincount(np.repeat(every, common), left[matched] != right[taken], minlength=len(rows)).astype(np.int64) // 2
+        some = np.maximum(common, 1)
+        jaro = np.where(common > 0, (common / n + common / m + (common - apart) / some) / 3, 0.0)
+        k = min(4, left.shape[1], right.shape[1])
+        alike = np.minimum.accumulate((left[:, :k] == right[:, :k]) & (np.arange(k) < np.minimum(n, m)[:, None]), axis=1).sum(1)
+        result[rows] = np.where(jaro > 0.7, jaro + 0.1 * alike * (1 - jaro), jaro)
+    return result
+
+
+def indels(a: list[str], b: list[str]) -> np.ndarray:
+    """2 LCS / (|a| + |b|) of a[i] and b[i]; 0 where one is empty."""
+    result = np.zeros(len(a))
+    for rows, left, n, right, m in _tables(a, b):
+        best = np.zeros((len(rows), right.shape[1] + 1), np.int32)
+        for i in range(left.shape[1]):  # beyond its end a row of left equals nothing, so best stays
+            equal = (right == left[:, i : i + 1]) & (i < n)[:, None]
+            best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], best[:, :-1] + equal), axis=1)
+        result[rows] = 2 * best[:, -1] / (n + m)
+    return result
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(jaro_winklers(a.tolist(), b.tolist()))
 
 
 @F.pandas_udf(DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_of(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(indels(a.tolist(), b.tolist()))
 
 
 def _flag(c: Column) -> Column:

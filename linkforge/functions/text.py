@@ -23,9 +23,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def clean_text(c: Column) -> Column:
-    """NFKC, null as ''. Spark has no built-in for it; ASCII text is its own NFKC and skips Python's answer."""
+    """NFKC, null as ''. Spark has no built-in for it. ASCII text is its own NFKC: of it only a null goes to Python."""
     c = F.coalesce(c, F.lit(""))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    return F.coalesce(_nfkc(F.when(has_non_ascii(c), c)), c)
 
 
 def normalize_country(c: Column) -> Column:

@@ -12,23 +12,38 @@ from pyspark.sql import functions as F
 #: Weights of the fixed scorer, which needs no training.
 WEIGHTS = {"name_char_4gram_jaccard": 6.0, "name_token_jaccard": 2.0, "name_length_ratio": 1.0, "address_char_4gram_jaccard": 3.0, "postal_match": 1.5, "country_match": 0.5}
 BIAS = -6.0
+#: Rows of a partition in training.
+TRAIN_ROWS = 50_000
 GATE_FEATURES = ["max_prob", "mean_prob", "median_prob", "std_prob", "candidate_count", "high_prob_count", "top1_minus_top2", "top1_minus_mean"]
 
 
-def fixed_score(features: DataFrame) -> DataFrame:
+def fixed_score(features: DataFrame, weights: dict[str, float] = WEIGHTS, bias: float = BIAS) -> DataFrame:
     """features with probability, the logistic of a fixed linear form, at six decimals."""
-    z = F.lit(BIAS)
-    for c, w in WEIGHTS.items():
+    z = F.lit(bias)
+    for c, w in weights.items():
         z = z + w * F.col(c)
     return features.withColumn("probability", F.round(1 / (1 + F.exp(-z)), 6))
 
 
 def train_matcher(train: DataFrame, features: list[str], trees: int = 100, held_out: str | None = None, seed: int = 42) -> PipelineModel:
-    """Boosted trees on label; with ``held_out``, a boolean column, training stops early on its rows."""
+    """Boosted trees on label; with ``held_out``, a boolean column, training stops early on its rows.
+
+    Every level of every tree is a small job, so the rows stand in few partitions of TRAIN_ROWS each.
+    """
+    train = train.coalesce(-(-train.count() // TRAIN_ROWS) or 1).persist()
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     if held_out:
         gbt = gbt.setValidationIndicatorCol(held_out)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(train)
+    try:
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(train)
+    finally:
+        train.unpersist()
+
+
+def train_second(scored_features: DataFrame, second: DataFrame, features: list[str], trees: int = 150, held_out: str | None = None, seed: int = 42) -> PipelineModel:
+    """The hard-negative matcher: boosted trees on the pairs of a second-round set (:func:`candidates.second_round`)."""
+    keys = ["source1_entity_id", "candidate_entity_id"]
+    return train_matcher(scored_features.join(second.select(*keys).distinct(), keys, "left_semi"), features, trees, held_out, seed)
 
 
 def train_gate(statistics: DataFrame, seed: int = 42) -> PipelineModel:

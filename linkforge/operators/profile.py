@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,20 @@ def addresses(records: DataFrame) -> DataFrame:
     return records.groupBy("source").agg(F.avg(F.length(a)).alias("mean_length"), (100.0 * F.avg(F.coalesce(a.rlike(r"\d"), F.lit(False)).cast("int"))).alias("percent_digit"), (100.0 * F.avg(F.coalesce(a.rlike(r"(?i)\bnear\b"), F.lit(False)).cast("int"))).alias("percent_near"))
 
 
+def top_names(records: DataFrame, n: int = 3) -> DataFrame:
+    """(source, place, business_name, rows): the n most frequent names of each source (ties: the smaller name)."""
+    counts = records.where("business_name is not null").groupBy("source", "business_name").agg(F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy("source").orderBy(F.col("rows").desc(), "business_name")
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("source", "place", "business_name", "rows")
+
+
+def truth_summary(spine: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: sources, singletons and their percent, mean, median and most matches of a source."""
+    n = truth.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("n"))
+    every = spine.select("source1_entity_id").distinct().join(n, "source1_entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return every.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("n") == 0).alias("singletons"), (100 * F.avg((F.col("n") == 0).cast("int"))).alias("percent_singletons"), F.avg("n").alias("mean_matches"), F.percentile("n", 0.5).alias("median_matches"), F.max("n").alias("most_matches"))
+
+
 def truth_sizes(spine: DataFrame, truth: DataFrame) -> DataFrame:
     """(matches, sources): how many sources have how many true matches, 0 included."""
     n = truth.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("matches"))
@@ -56,6 +70,14 @@ def collisions(df: DataFrame, raw: str, normal: str) -> DataFrame:
     return df.groupBy(F.col(normal).alias("normal")).agg(F.countDistinct(raw).alias("raws")).where("raws > 1")
 
 
+def collision_summary(df: DataFrame, raw: str, normal: str) -> DataFrame:
+    """One row: distinct raw values and normal forms, the percent that normalising merges, normal forms of several raw values."""
+    per = df.where(F.col(raw).isNotNull()).groupBy(F.col(normal).alias("normal")).agg(F.countDistinct(raw).alias("raws"))
+    values = df.agg(F.countDistinct(raw).alias("raw_values"))
+    one = per.agg(F.count(F.lit(1)).alias("normal_forms"), F.count_if(F.col("raws") > 1).alias("groups")).crossJoin(F.broadcast(values))
+    return one.select("raw_values", "normal_forms", (100.0 * (F.col("raw_values") - F.col("normal_forms")) / F.col("raw_values")).alias("percent_merged"), "groups")
+
+
 def feature_statistics(features: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, missing, lowest, highest, mean, deviation): one scan for all columns."""
     kinds = {"missing": lambda c: 100.0 * F.avg(F.col(c).isNull().cast("int")), "lowest": lambda c: F.min(c).cast("double"), "highest": lambda c: F.max(c).cast("double"), "mean": F.avg, "deviation": F.stddev_samp}

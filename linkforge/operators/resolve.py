@@ -57,9 +57,9 @@ def results(spine: DataFrame, final: DataFrame) -> DataFrame:
     return roll_up(spine, final)
 
 
-def summary(spine: DataFrame, pairs: DataFrame, final: DataFrame) -> DataFrame:
-    """One row: sources, candidate counts (mean, median, p95, p99, max, none), matches by source table."""
+def summary(spine: DataFrame, pairs: DataFrame, final: DataFrame, match: float = MATCH, gate: float = GATE) -> DataFrame:
+    """One row: sources, candidate counts (mean, median, p95, p99, max, none), matches by source table, the thresholds."""
     per = spine.select("source1_entity_id").distinct().join(pairs.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("n")), "source1_entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = per.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("candidates"), F.avg("n").alias("mean_candidates"), F.percentile("n", 0.5).alias("median_candidates"), F.percentile("n", 0.95).alias("p95_candidates"), F.percentile("n", 0.99).alias("p99_candidates"), F.max("n").alias("max_candidates"), F.count_if(F.col("n") == 0).alias("without_candidates"))
     two = final.agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("candidate_entity_id").startswith("S2-")).alias("s2_matches"), F.count_if(F.col("candidate_entity_id").startswith("S3-")).alias("s3_matches"), F.countDistinct("source1_entity_id").alias("matched_sources"))
-    return one.crossJoin(two)
+    return one.crossJoin(two).withColumn("match_threshold", F.lit(match)).withColumn("gate_threshold", F.lit(gate))

@@ -11,8 +11,8 @@ PATHS = ("token", "ngram", "postal", "country")
 POSTAL_WEIGHT, GRAM_WEIGHT, SAME_COUNTRY, OTHER_COUNTRY = 10.0, 0.3, 1.5, 0.2
 
 
-def keys(records: DataFrame, paths=PATHS) -> DataFrame:
-    """(entity_id, kind, key): distinct tokens, 4-grams of the compact name and postal codes of preprocessed records."""
+def keys(records: DataFrame, paths=PATHS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(entity_id, kind, key) and the columns ``also``: distinct tokens, 4-grams of the compact name and postal codes of preprocessed records."""
     parts = {
         "token": F.array_distinct(F.col("business_name_tokenized")),
         "ngram": grams(F.col("business_name_compact")),
@@ -23,7 +23,7 @@ def keys(records: DataFrame, paths=PATHS) -> DataFrame:
         return F.transform(parts[kind], lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
 
     every = F.flatten(F.array(*[tagged(k) for k in parts if k in paths]))
-    return records.select("entity_id", F.explode(every).alias("k")).select("entity_id", "k.kind", "k.key")
+    return records.select("entity_id", *also, F.explode(every).alias("k")).select("entity_id", *also, "k.kind", "k.key")
 
 
 def key_weights(target_keys: DataFrame, n_targets: DataFrame, max_df: float = 0.01) -> DataFrame:
@@ -46,21 +46,19 @@ def block(sources: DataFrame, targets: DataFrame, top_k: int = 30, paths=PATHS,
     bounds what a key of tokens or grams holds, and a hot postal code is split by AQE's skew join.
     """
     n_targets = targets.agg(F.count(F.lit(1)).alias("n"))
-    theirs = keys(targets, paths)
-    weights = key_weights(theirs, n_targets, max_df)
-    mine = keys(sources, paths).withColumnRenamed("entity_id", "source1_entity_id")
-    posted = theirs.withColumnRenamed("entity_id", "candidate_entity_id").join(weights, ["kind", "key"])
-    hits = mine.join(posted, ["kind", "key"]).groupBy("source1_entity_id", "candidate_entity_id")
-    found = [F.max(F.when(F.col("kind") == k, F.lit(k))) for k in ("ngram", "postal", "token")]
-    scored = hits.agg(F.sum("weight").alias("raw"), F.array_compact(F.array(*found)).alias("hit"))
-    if "country" in paths:
-        known = targets.where("country_normalized <> ''").select(F.col("country_normalized").alias("s_country")).distinct().withColumn("known", F.lit(True))
-        s = sources.select(F.col("entity_id").alias("source1_entity_id"), F.col("country_normalized").alias("s_country")).join(known, "s_country", "left")
-        t = targets.select(F.col("entity_id").alias("candidate_entity_id"), F.col("country_normalized").alias("c_country"))
-        scored = scored.join(s, "source1_entity_id").join(t, "candidate_entity_id")
-        same = F.col("s_country") == F.col("c_country")
-        scored = scored.withColumn("raw", F.when(F.col("known"), F.col("raw") * F.when(same, SAME_COUNTRY).otherwise(OTHER_COUNTRY)).otherwise(F.col("raw")))
-        scored = scored.withColumn("hit", F.when(F.col("known") & same, F.array_append("hit", F.lit("country"))).otherwise(F.col("hit")))
-    scored = scored.select("source1_entity_id", "candidate_entity_id", F.round("raw", 6).alias("score"), F.array_join(F.array_sort("hit"), ",").alias("provenance"))
+    weights = key_weights(keys(targets, paths), n_targets, max_df)
+    # Both countries travel with the keys, so the many pairs that meet need no further join.
+    country = F.lit(None).cast("string")
+    known = targets.where("country_normalized <> ''").select("country_normalized").distinct()
+    s = sources.withColumn("s_country", country) if "country" not in paths else sources.join(known.withColumn("s_country", F.col("country_normalized")), "country_normalized", "left")
+    mine = keys(s, paths, ("s_country",)).withColumnRenamed("entity_id", "source1_entity_id")
+    posted = keys(targets.withColumn("c_country", F.col("country_normalized")), paths, ("c_country",)).withColumnRenamed("entity_id", "candidate_entity_id").join(weights, ["kind", "key"])
+    bits = {"ngram": 1, "postal": 2, "token": 4}
+    bit = F.when(F.col("kind") == "ngram", bits["ngram"]).when(F.col("kind") == "postal", bits["postal"]).otherwise(bits["token"])
+    scored = mine.join(posted, ["kind", "key"]).groupBy("source1_entity_id", "s_country", "candidate_entity_id", "c_country").agg(F.sum("weight").alias("raw"), F.bit_or(bit).alias("bits"))
+    same = F.coalesce(F.col("s_country") == F.col("c_country"), F.lit(False))
+    score = F.col("raw") * F.when(F.col("s_country").isNull(), 1.0).when(same, SAME_COUNTRY).otherwise(OTHER_COUNTRY)
+    hit = F.concat_ws(",", F.when(same, F.lit("country")), *[F.when(F.col("bits").bitwiseAND(n) > 0, F.lit(k)) for k, n in bits.items()])
+    scored = scored.select("source1_entity_id", "candidate_entity_id", F.round(score, 6).alias("score"), hit.alias("provenance"))
     order = Window.partitionBy("source1_entity_id").orderBy(F.col("score").desc(), "candidate_entity_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

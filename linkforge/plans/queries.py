@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkforge.functions import text as tx
-from linkforge.functions.similarity import indel, jaro_winkler
+from linkforge.functions.similarity import feature_names, indel
 from linkforge.operators import candidates, dense, metrics, model, profile, resolve, sparse, validate
 from linkforge.operators.candidates import PAIR
 from linkforge.plans import fixtures as fx
 from linkforge.plans.fixtures import sql
 from linkforge.sources import tables
+from linkforge.sources.scratch import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,14 +60,15 @@ def c_grams(spark, sf_dir):
     return g.select("entity_id", F.size("g").alias("n"), F.array_join(F.array_sort("g"), "|").alias("grams"))
 
 
-_LITERALS = ["L.L.C.", "A & B Co", "Acme Pvt. Ltd.", "Cafe De L'amour", "", "NA", "12 st 560001 near 12345-6789", "PO 12345, 54321 Dr", "900001 or 900002", None]
+_LITERALS = ["L.L.C.", "A & B Co", "Acme Pvt. Ltd.", "Cafe De L'amour", "", "NA", "12 st 560001 near 12345-6789", "PO 12345, 54321 Dr", "900001 or 900002", None, "Ａcme ﬁn", "राम मार्केटिंग", "Ⅻ Ŀ  ½"]
 
 
-@query("""SELECT * FROM (VALUES (0, 'llc', 'l l c', NULL), (1, 'a and b company', 'a b co', NULL), (2, 'acme private limited', 'acme pvt ltd', NULL), (3, 'cafe de l amour', 'cafe de l amour', NULL), (4, '', '', NULL), (5, 'na', 'na', NULL),
-  (6, '12 st 560001 near 12345 6789', '12 street 560001 near 12345 6789', '560001'), (7, 'po 12345 54321 dr', 'po 12345 54321 drive', '54321'), (8, '900001 or 900002', '900001 or 900002', '900002'), (9, '', '', NULL)) AS v(i, name, address, postal)""")
+@query("""SELECT *, i = 11 AS devanagari FROM (VALUES (0, 'llc', 'l l c', NULL), (1, 'a and b company', 'a b co', NULL), (2, 'acme private limited', 'acme pvt ltd', NULL), (3, 'cafe de l amour', 'cafe de l amour', NULL), (4, '', '', NULL), (5, 'na', 'na', NULL),
+  (6, '12 st 560001 near 12345 6789', '12 street 560001 near 12345 6789', '560001'), (7, 'po 12345 54321 dr', 'po 12345 54321 drive', '54321'), (8, '900001 or 900002', '900001 or 900002', '900002'), (9, '', '', NULL),
+  (10, 'acme fin', 'acme fin', NULL), (11, 'र म म र क ट ग', 'र म म र क ट ग', NULL), (12, 'xii l 1 2', 'xii l 1 2', NULL)) AS v(i, name, address, postal)""")
 def c_literals(spark, sf_dir):
     v = spark.createDataFrame(list(enumerate(_LITERALS)), "i int, raw string")
-    return v.select("i", tx.normalize_business_name(F.col("raw")).alias("name"), tx.normalize_address(F.col("raw")).alias("address"), tx.extract_postal_code(F.col("raw")).alias("postal"))
+    return v.select("i", tx.normalize_business_name(F.col("raw")).alias("name"), tx.normalize_address(F.col("raw")).alias("address"), tx.extract_postal_code(F.col("raw")).alias("postal"), tx.has_devanagari(F.col("raw")).alias("devanagari"))
 
 
 # Sparse blocking (D)
@@ -96,12 +98,13 @@ def d_path_ablation(spark, sf_dir):
 
 # Dense blocking (E)
 
-_KNN_SQL = """
+_KNN_ALL = """
 SELECT source1_entity_id, candidate_entity_id, score, rank FROM (
   SELECT *, (row_number() OVER (PARTITION BY source1_entity_id ORDER BY score DESC, candidate_entity_id))::INTEGER AS rank FROM (
     SELECT concat('V1-', a.vec_id) AS source1_entity_id, concat('V', b.vec_id % 3 + 1, '-', b.vec_id) AS candidate_entity_id,
       round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS score
-    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0) a, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0) b)) WHERE rank <= 30"""
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0) a, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 <> 0) b))"""
+_KNN_SQL = f"{_KNN_ALL} WHERE rank <= 30"
 
 
 def _vectors(spark, sf_dir):
@@ -115,10 +118,38 @@ def e_nearest30(spark, sf_dir):
     return dense.nearest(*_vectors(spark, sf_dir), 30)
 
 
-@query(f"SELECT k, count(*) AS pairs, round(avg(score), 6) AS mean_score, round(min(score), 6) AS least FROM ({_KNN_SQL}), (VALUES (10), (20), (30)) AS ks(k) WHERE rank <= k GROUP BY k")
+@query(f"SELECT k, count(*) AS pairs, round(avg(score), 6) AS mean_score, round(min(score), 6) AS least FROM ({_KNN_ALL}), (VALUES (10), (20), (30), (50)) AS ks(k) WHERE rank <= k GROUP BY k")
 def e_k_sweep(spark, sf_dir):
-    ks = F.broadcast(spark.createDataFrame([(10,), (20,), (30,)], "k int"))
-    return _rounded(dense.nearest(*_vectors(spark, sf_dir), 30).crossJoin(ks).where("rank <= k").groupBy("k").agg(F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("mean_score"), F.min("score").alias("least")))
+    ks = spark.createDataFrame([(10,), (20,), (30,), (50,)], "k int")
+    return _rounded(dense.nearest(*_vectors(spark, sf_dir), 50).crossJoin(F.broadcast(ks)).where("rank <= k").groupBy("k").agg(F.count(F.lit(1)).alias("pairs"), F.avg("score").alias("mean_score"), F.min("score").alias("least")))
+
+
+@query(f"SELECT count(*) AS pairs, true AS reached, 0::BIGINT AS differing FROM ({_KNN_SQL})")
+def e_index_recall(spark, sf_dir):
+    """Recall of the index against all products, and what saving and loading it changes."""
+    sources, targets = _vectors(spark, sf_dir)
+    index = dense.Index.fit(targets)
+    path = new_path(spark, "index")
+    index.save(path)
+    found = index.search(sources, 30)
+    again = dense.Index.load(spark, path).search(sources, 30)
+    columns = [*PAIR, "score", "rank"]
+    differing = found.select(*columns).exceptAll(again.select(*columns)).agg(F.count(F.lit(1)).alias("differing"))
+    share = dense.recall(found, dense.nearest(sources, targets, 30))
+    return share.select("pairs", (F.col("recall") >= 0.9).alias("reached")).crossJoin(differing)
+
+
+@query("SELECT count(*) AS targets, 0::BIGINT AS differing FROM embeddings WHERE vec_id % 3 <> 0")
+def e_index_insert(spark, sf_dir):
+    """An index that gets its targets in two batches holds what one that gets all at once holds."""
+    sources, targets = _vectors(spark, sf_dir)
+    whole = dense.Index.fit(targets)
+    odd = F.xxhash64("entity_id") % 2 == 0
+    empty = dense.Index(whole.centres, whole.rows.where("false"), whole.probes)
+    both = empty.insert(targets.where(odd)).insert(targets.where(~odd))
+    columns = [*PAIR, "score", "rank"]
+    differing = whole.search(sources, 10).select(*columns).exceptAll(both.search(sources, 10).select(*columns)).agg(F.count(F.lit(1)).alias("differing"))
+    return both.rows.agg(F.count(F.lit(1)).alias("targets")).crossJoin(differing)
 
 
 def _dense(spark, sf_dir):
@@ -209,10 +240,12 @@ def h_features(spark, sf_dir):
     return _rounded(f.select(*PAIR, *[c for c in f.columns if c not in {*PAIR, "score", "rank", "provenance", "candidate_source", "label", *_NOT_SQL} and not c.startswith(("s1_name", "s1_address", "s1_country", "s1_postal", "cand_")) or c.endswith("_missing")]))
 
 
-@query(f"SELECT source1_entity_id, candidate_entity_id, round(1 - levenshtein(na, nb)::DOUBLE / greatest(length(na), length(nb)), 6) AS edit_similarity, round(jaro_winkler_similarity(na, nb), 6) AS jaro_winkler FROM feat WHERE {_ASCII}")
+@query(f"""SELECT source1_entity_id, candidate_entity_id, round(1 - levenshtein(na, nb)::DOUBLE / greatest(length(na), length(nb)), 6) AS edit_similarity, round(jaro_winkler_similarity(na, nb), 6) AS jaro_winkler,
+  round(CASE WHEN aa = '' OR ab = '' THEN 0e0 ELSE 1 - levenshtein(aa, ab)::DOUBLE / greatest(length(aa), length(ab)) END, 6) AS address_edit_similarity FROM feat WHERE {_ASCII} AND regexp_matches(aa || ab, '^[\\x00-\\x7F]*$')""")
 def h_edit_ascii(spark, sf_dir):
     f = fx.features(spark, sf_dir).where(~F.col("s1_name").rlike(r"[^\x00-\x7F]") & ~F.col("cand_name").rlike(r"[^\x00-\x7F]") & (F.trim("s1_name") != "") & (F.trim("cand_name") != ""))
-    return _rounded(f.select(*PAIR, F.col("name_edit_similarity").alias("edit_similarity"), F.col("name_jaro_winkler").alias("jaro_winkler")))
+    f = f.where(~F.concat(*(F.coalesce(c, F.lit("")) for c in ("s1_address", "cand_address"))).rlike(r"[^\x00-\x7F]"))
+    return _rounded(f.select(*PAIR, F.col("name_edit_similarity").alias("edit_similarity"), F.col("name_jaro_winkler").alias("jaro_winkler"), "address_edit_similarity"))
 
 
 @query("SELECT * FROM (VALUES ('acme corp', 'corp acme', 1e0), ('kitten', 'sitting', 0.615385e0), ('', 'x', 0e0)) AS v(a, b, sorted_token)")
@@ -224,7 +257,17 @@ def h_sorted_tokens(spark, sf_dir):
 
 @query()
 def h_all_48(spark, sf_dir):
-    return fx.features(spark, sf_dir).select(*PAIR, "name_edit_similarity", "address_edit_similarity", "name_jaro_winkler", "name_sorted_token_similarity")
+    f = fx.features(spark, sf_dir)
+    made = [c for c in f.columns if c not in {*PAIR, "score", "rank", "provenance", "candidate_source", "label"} and (not c.startswith(("s1_name", "s1_address", "s1_country", "s1_postal", "cand_")) or c.endswith("_missing"))]
+    return f.select(*PAIR, *made)
+
+
+@query("SELECT 45::BIGINT AS features, 48::BIGINT AS made, 0::BIGINT AS forbidden")
+def h_feature_names(spark, sf_dir):
+    """How many of the 48 features a model may use, and how many ids, labels or raw columns are among them (none)."""
+    names, made = feature_names(fx.features(spark, sf_dir)), len(h_all_48(spark, sf_dir).columns) - len(PAIR)
+    raw = {*PAIR, "label", "score", "rank", "probability", "provenance", "candidate_source"}
+    return spark.createDataFrame([(len(names), made, len(raw.intersection(names)))], "features long, made long, forbidden long")
 
 
 # Models (I)
@@ -256,10 +299,18 @@ def i_split(spark, sf_dir):
     return candidates.split(fx.spine(spark, sf_dir))
 
 
+_models: dict[tuple, tuple] = {}
+
+
 def _trained(spark, sf_dir):
-    rows = candidates.split(fx.features(spark, sf_dir))
-    names = [c for c in ("name_char_4gram_jaccard", "name_token_jaccard", "name_jaro_winkler", "name_edit_similarity", "address_char_4gram_jaccard", "postal_match", "country_match", "name_length_ratio")]
-    return model.train_matcher(rows.withColumn("held_out", ~F.col("is_train")), names, 10, "held_out"), rows, names
+    """The matcher on all 45 features with the default number of trees, stopped early on the held-out sources; kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        rows = candidates.split(fx.features(spark, sf_dir)).withColumn("held_out", ~F.col("is_train"))
+        names = feature_names(fx.features(spark, sf_dir))
+        _models[key] = model.train_matcher(rows, names, held_out="held_out"), names
+    m, names = _models[key]
+    return m, fx.features(spark, sf_dir), names
 
 
 @query()
@@ -268,6 +319,34 @@ def i_trained_scores(spark, sf_dir):
     return model.score(m, rows.select(*PAIR, "label", *names)).select(*PAIR, "label", "probability")
 
 
+@query("SELECT count(*) AS pairs, 0::BIGINT AS differing, true AS refused FROM feat")
+def i_batch_scores(spark, sf_dir):
+    """A saved matcher, loaded by its second path, scores with its own order of features as the one in memory does."""
+    m, rows, names = _trained(spark, sf_dir)
+    path = new_path(spark, "matcher")
+    tables.save_model(spark, m, names, path)
+    try:
+        tables.load_model(spark, f"{path}-absent")
+        refused = False
+    except FileNotFoundError:
+        refused = True
+    again, order = tables.load_model(spark, f"{path}-absent", path)
+    one = model.score(m, rows.select(*PAIR, *names)).select(*PAIR, "probability")
+    two = model.score(again, rows.select(*PAIR, *order[::-1])).select(*PAIR, F.col("probability").alias("p"))
+    return one.join(two, PAIR).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("probability") != F.col("p")).alias("differing")).withColumn("refused", F.lit(refused))
+
+
+@query()
+def i_second_matcher(spark, sf_dir):
+    """Probabilities of the matcher that is trained on the second-round set of the fixed scores."""
+    s = fx.scored(spark, sf_dir)
+    second = candidates.second_round(s, candidates.hard_negatives(s, 3, 0.01, 200), 500)
+    rows = candidates.split(fx.features(spark, sf_dir)).withColumn("held_out", ~F.col("is_train"))
+    names = feature_names(fx.features(spark, sf_dir))
+    m = model.train_second(rows, second, names, held_out="held_out")
+    return model.score(m, rows.select(*PAIR, "label", *names)).select(*PAIR, "label", "probability")
+
+
 @query()
 def i_importance(spark, sf_dir):
     return model.importance(_trained(spark, sf_dir)[0])
@@ -275,8 +354,9 @@ def i_importance(spark, sf_dir):
 
 @query()
 def i_trained_gate(spark, sf_dir):
-    st = fx.gate(spark, sf_dir).drop("singleton_prob")
-    return model.score(model.train_gate(st), st, "singleton_prob").select("source1_entity_id", "is_singleton", "singleton_prob")
+    """The gate learns from the sources of the training side and scores those held out too."""
+    st = candidates.split(fx.gate(spark, sf_dir).drop("singleton_prob"))
+    return model.score(model.train_gate(st.where("is_train")), st, "singleton_prob").select("source1_entity_id", "is_singleton", "is_train", "singleton_prob")
 
 
 # Resolution (J, B)
@@ -334,31 +414,93 @@ def a_exploded_lists(spark, sf_dir):
 
 @query("""WITH c AS (SELECT source1_entity_id, count(b.candidate_entity_id) AS n FROM spine LEFT JOIN blocked b USING (source1_entity_id) GROUP BY 1)
 SELECT count(*) AS sources, sum(n)::BIGINT AS candidates, round(avg(n), 6) AS mean_candidates, quantile_cont(n, 0.5)::DOUBLE AS median_candidates, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95_candidates, round(quantile_cont(n, 0.99), 6)::DOUBLE AS p99_candidates, max(n) AS max_candidates, count_if(n = 0)::BIGINT AS without_candidates,
-  (SELECT count(*) FROM fin) AS matches, (SELECT count(*) FROM fin WHERE candidate_source = 'S2') AS s2_matches, (SELECT count(*) FROM fin WHERE candidate_source = 'S3') AS s3_matches, (SELECT count(DISTINCT source1_entity_id) FROM fin) AS matched_sources FROM c""")
+  (SELECT count(*) FROM fin) AS matches, (SELECT count(*) FROM fin WHERE candidate_source = 'S2') AS s2_matches, (SELECT count(*) FROM fin WHERE candidate_source = 'S3') AS s3_matches, (SELECT count(DISTINCT source1_entity_id) FROM fin) AS matched_sources, 0.86::DOUBLE AS match_threshold, 0.5::DOUBLE AS gate_threshold FROM c""")
 def j_summary(spark, sf_dir):
     return _rounded(resolve.summary(fx.spine(spark, sf_dir), fx.blocked(spark, sf_dir), _final(spark, sf_dir)))
 
 
+_PLAIN = "regexp_replace({0}, '[\\t\\n\\r\"]', ' ', 'g')"
+_CELL = "CASE WHEN {0} IN ('', 'NA', 'N/A', 'NULL', 'null', 'None', 'nan', 'NaN', 'n/a') THEN NULL ELSE {0} END AS {1}"
+_FILE_SQL = ", ".join(_CELL.format(_PLAIN.format(c), c) for c in ("entity_id", "business_name", "business_address", "country"))
+
+
+def _record_file(spark, sf_dir, kind: str, sep: str) -> str:
+    """The records as a delimited file without an ending, written for this query."""
+    stem = new_path(spark, "records")
+    raw = fx.records(spark, sf_dir).select(*[F.coalesce(F.regexp_replace(c, r'[\t\n\r"]', " "), F.lit("")).alias(c) for c in ("entity_id", "business_name", "business_address", "country")])
+    quote = "" if sep == "\t" else '"'
+    raw.write.options(sep=sep, header=True, emptyValue="", quote=quote, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{stem}.{kind}")
+    return stem
+
+
+@query(f"SELECT {_FILE_SQL} FROM rec")
+def a_tsv_scan(spark, sf_dir):
+    return tables.read_records(spark, _record_file(spark, sf_dir, "tsv", "\t") + ".tsv")
+
+
+@query(f"SELECT 'csv' AS kind, {_FILE_SQL} FROM rec UNION ALL SELECT 'tsv', {_FILE_SQL} FROM rec")
+def a_either_scan(spark, sf_dir):
+    both = [tables.read_either(spark, _record_file(spark, sf_dir, kind, sep)).select(F.lit(kind).alias("kind"), "*") for kind, sep in (("csv", ","), ("tsv", "\t"))]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT entity_id FROM rec")
+def a_id_scan(spark, sf_dir):
+    return tables.read_ids(spark, _record_file(spark, sf_dir, "tsv", "\t") + ".tsv")
+
+
+@query("SELECT doc_id // 250 AS chunk, count(*) AS rows, count(business_address) AS with_address FROM rec GROUP BY 1")
+def a_chunked_scan(spark, sf_dir):
+    return tables.in_chunks(fx.records(spark, sf_dir), "doc_id", 250).groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.count("business_address").alias("with_address"))
+
+
+@query("SELECT 0.86::DOUBLE AS final_match_threshold, 0.5::DOUBLE AS singleton_gate_threshold, (SELECT count(*) FROM fin) AS matches")
+def b_json(spark, sf_dir):
+    path = new_path(spark, "metrics")
+    tables.write_json(spark, {"singleton_gate_threshold": resolve.GATE, "final_match_threshold": resolve.MATCH, "matches": _final(spark, sf_dir).count()}, path)
+    v = tables.read_json(spark, path)
+    return spark.createDataFrame([(v["final_match_threshold"], v["singleton_gate_threshold"], v["matches"])], "final_match_threshold double, singleton_gate_threshold double, matches long")
+
+
+@query("SELECT 'matching_results' AS file, source1_entity_id, '' AS ids FROM spine UNION ALL SELECT 'candidate_pairs', source1_entity_id, '' FROM spine")
+def b_empty_results(spark, sf_dir):
+    path = new_path(spark, "empty")
+    tables.write_empty_results(fx.spine(spark, sf_dir), path)
+    both = [spark.read.options(sep="\t", header=True).schema("source1_entity_id string, ids string").csv(f"{path}/{name}.tsv").select(F.lit(name).alias("file"), "source1_entity_id", F.coalesce("ids", F.lit("")).alias("ids")) for name in ("matching_results", "candidate_pairs")]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT source1_entity_id, candidate_entity_id, candidate_source, label, probability FROM sc")
+def b_parquet(spark, sf_dir):
+    return tables.write_parquet(fx.scored(spark, sf_dir).select(*PAIR, "candidate_source", "label", "probability"), new_path(spark, "predictions"))
+
+
+@query(f"SELECT *, {_PRF} FROM (SELECT threshold, count_if(probability >= threshold AND label = 1)::BIGINT AS tp, count_if(probability >= threshold AND label = 0)::BIGINT AS fp, count_if(probability < threshold AND label = 1)::BIGINT AS fn FROM sc, {_levels_sql(GATES)} GROUP BY threshold)")
+def b_csv(spark, sf_dir):
+    report, path = k_pair_metrics(spark, sf_dir), new_path(spark, "report")
+    tables.write_csv(report, path)
+    return spark.read.option("header", True).schema(report.schema).csv(path)
+
+
 # Evaluation (K)
 
 
 @query("""WITH ks AS (SELECT unnest([10, 20, 30])::INTEGER AS k), cut AS MATERIALIZED (SELECT * FROM blocked, ks WHERE rank <= k), c AS (SELECT source1_entity_id, k, count(b.candidate_entity_id) AS n FROM (SELECT * FROM spine, ks) LEFT JOIN cut b USING (source1_entity_id, k) GROUP BY ALL)
-SELECT k, t.true_pairs, t.found, mean_candidates, median_candidates, p95_candidates, max_candidates, percent_without, true_pairs - found AS missed, round(found / true_pairs::DOUBLE, 6) AS recall, round(100 * (1 - mean_raw / (SELECT count(*) FROM tg)), 6) AS reduction
-FROM (SELECT k, avg(n) AS mean_raw, round(avg(n), 6) AS mean_candidates, quantile_cont(n, 0.5)::DOUBLE AS median_candidates, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95_candidates, max(n) AS max_candidates, round(100 * avg((n = 0)::INTEGER), 6) AS percent_without FROM c GROUP BY k)
+SELECT k, t.true_pairs, t.found, mean_candidates, median_candidates, p90_candidates, p95_candidates, p99_candidates, max_candidates, percent_without, true_pairs - found AS missed, round(found / true_pairs::DOUBLE, 6) AS recall, round(100 * (1 - mean_raw / (SELECT count(*) FROM tg)), 6) AS reduction
+FROM (SELECT k, avg(n) AS mean_raw, round(avg(n), 6) AS mean_candidates, quantile_cont(n, 0.5)::DOUBLE AS median_candidates, round(quantile_cont(n, 0.9), 6)::DOUBLE AS p90_candidates, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95_candidates, round(quantile_cont(n, 0.99), 6)::DOUBLE AS p99_candidates, max(n) AS max_candidates, round(100 * avg((n = 0)::INTEGER), 6) AS percent_without FROM c GROUP BY k)
 JOIN (SELECT k, count(*) AS true_pairs, count(cut.rank) AS found FROM (SELECT * FROM gt, ks) LEFT JOIN cut USING (source1_entity_id, candidate_entity_id, k) GROUP BY k) t USING (k)""")
 def k_blocking_recall(spark, sf_dir):
     return _rounded(metrics.blocking_recall(fx.spine(spark, sf_dir), fx.truth(spark, sf_dir), fx.blocked(spark, sf_dir), [10, 20, 30], fx.targets(spark, sf_dir).count()))
 
 
 @query("""WITH sy AS (SELECT 'token' AS system, source1_entity_id, candidate_entity_id FROM by_token UNION ALL SELECT 'ngram', source1_entity_id, candidate_entity_id FROM by_ngram UNION ALL SELECT 'all', source1_entity_id, candidate_entity_id FROM blocked)
-SELECT system, count(*) AS pairs, count(gt.candidate_entity_id) AS found, round(count(gt.candidate_entity_id) / (SELECT count(*) FROM gt)::DOUBLE, 6) AS recall FROM sy LEFT JOIN gt ON gt.source1_entity_id = sy.source1_entity_id AND gt.candidate_entity_id = sy.candidate_entity_id GROUP BY system""")
+SELECT system, count(*) AS pairs, count(gt.candidate_entity_id) AS found, round(count(gt.candidate_entity_id) / (SELECT count(*) FROM gt)::DOUBLE, 6) AS recall,
+  round(count(m.source1_entity_id) / (SELECT count(DISTINCT source1_entity_id) FROM gt)::DOUBLE, 6) AS mean_candidates,
+  round(100 * (1 - count(m.source1_entity_id) / (SELECT count(DISTINCT source1_entity_id) FROM gt)::DOUBLE / (SELECT count(*) FROM tg)), 6) AS reduction
+FROM sy LEFT JOIN gt ON gt.source1_entity_id = sy.source1_entity_id AND gt.candidate_entity_id = sy.candidate_entity_id LEFT JOIN (SELECT DISTINCT source1_entity_id FROM gt) m ON m.source1_entity_id = sy.source1_entity_id GROUP BY system""")
 def k_system_comparison(spark, sf_dir):
-    t = fx.truth(spark, sf_dir)
     named = [fx.blocked(spark, sf_dir, p).select(F.lit(n).alias("system"), *PAIR) for n, p in (("token", ("token",)), ("ngram", ("ngram",)), ("all", sparse.PATHS))]
-    both = candidates.with_labels(named[0].union(named[1]).union(named[2]), t)
-    total = F.broadcast(t.agg(F.count(F.lit(1)).alias("total")))
-    out = both.groupBy("system").agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("found")).crossJoin(total)
-    return _rounded(out.select("system", "pairs", "found", (F.col("found") / F.col("total")).alias("recall")))
+    return _rounded(metrics.system_comparison(fx.truth(spark, sf_dir), named[0].union(named[1]).union(named[2]), fx.targets(spark, sf_dir).count()))
 
 
 _STRATA = "SELECT entity_id AS source1_entity_id, unnest(list_filter([concat('country ', country_normalized), CASE WHEN strlen(business_name) <> length(business_name) THEN 'non-ascii' ELSE 'ascii' END, CASE WHEN business_address IS NULL THEN 'no address' END], lambda x: x IS NOT NULL)) AS stratum FROM s1"
@@ -396,7 +538,7 @@ def k_macro_f05(spark, sf_dir):
 
 
 def _set_macro_sql(variants: str) -> str:
-    return f"""SELECT variant, count(*) AS sources, round(avg(f), 6) AS macro_f05, round(coalesce(avg(f) FILTER (t > 0), 0), 6) AS macro_f05_with_truth, count_if(t > 0 AND s = 0)::BIGINT AS emptied FROM (SELECT variant, t, s, {_F05} AS f FROM (
+    return f"""SELECT variant, count(*) AS sources, round(avg(f), 6) AS macro_f05, round(coalesce(avg(f) FILTER (t > 0), 0), 6) AS macro_f05_with_truth, count_if(t > 0 AND s = 0)::BIGINT AS emptied, round(coalesce(count_if(t > 0 AND s = 0) / nullif(count_if(t > 0), 0)::DOUBLE, 0), 6) AS emptied_rate FROM (SELECT variant, t, s, {_F05} AS f FROM (
   SELECT variant, source1_entity_id, (SELECT count(*) FROM gt WHERE gt.source1_entity_id = x.source1_entity_id) AS t, count(v.candidate_entity_id) AS s, count(gt.candidate_entity_id) AS h
   FROM (SELECT * FROM spine, (SELECT DISTINCT variant FROM ({variants}))) x LEFT JOIN ({variants}) v USING (variant, source1_entity_id) LEFT JOIN gt USING (source1_entity_id, candidate_entity_id) GROUP BY ALL)) GROUP BY variant"""
 
@@ -442,20 +584,42 @@ def k_threshold_ladder(spark, sf_dir):
     return _rounded(fx.scored(spark, sf_dir).where("label = 0").crossJoin(metrics.thresholds(spark, GATES)).groupBy("threshold").agg(F.count_if(hit).alias("negatives"), (100 * F.avg(hit.cast("int"))).alias("percent")))
 
 
-@query("SELECT source1_entity_id, candidate_entity_id FROM sc WHERE label = 0 AND probability >= 0.3 EXCEPT SELECT source1_entity_id, candidate_entity_id FROM sc WHERE label = 0 AND probability >= 0.6")
-def k_fixed_errors(spark, sf_dir):
-    s = fx.scored(spark, sf_dir).where("label = 0")
-    return s.where("probability >= 0.3").join(s.where("probability >= 0.6"), PAIR, "left_anti").select(*PAIR)
+#: A second fixed scorer, which leans on names; it stands for the second model where trees have no SQL.
+_SECOND = {**model.WEIGHTS, "name_char_4gram_jaccard": 9.0, "address_char_4gram_jaccard": 2.0}
+_SECOND_BIAS = -7.0
+_SC2 = f"SELECT source1_entity_id, candidate_entity_id, label, round(1 / (1 + exp(-({_SECOND_BIAS}e0 + " + " + ".join(f"{w} * {c}" for c, w in _SECOND.items()) + "))), 6) AS probability FROM feat"
+
+
+def _second(spark, sf_dir):
+    return model.fixed_score(fx.features(spark, sf_dir), _SECOND, _SECOND_BIAS).select(*PAIR, "label", "probability")
+
+
+@query(f"""WITH mm AS MATERIALIZED (SELECT 'first' AS model, source1_entity_id, label, probability FROM sc UNION ALL SELECT 'second', source1_entity_id, label, probability FROM ({_SC2}))
+SELECT *, {_PRF} FROM (SELECT model, threshold, sum(h)::BIGINT AS tp, (sum(s) - sum(h))::BIGINT AS fp, (sum(t) - sum(h))::BIGINT AS fn, round(avg({_F05}), 6) AS macro_f05 FROM (
+  SELECT model, threshold, source1_entity_id, sum(label) AS t, count_if(probability >= threshold) AS s, count_if(probability >= threshold AND label = 1) AS h FROM mm, {_levels_sql(GATES[:5])} GROUP BY ALL) GROUP BY model, threshold)""")
+def k_model_ladder(spark, sf_dir):
+    both = fx.scored(spark, sf_dir).select(F.lit("first").alias("model"), *PAIR, "label", "probability").union(_second(spark, sf_dir).select(F.lit("second"), *PAIR, "label", "probability"))
+    return _rounded(metrics.model_ladder(both, metrics.thresholds(spark, GATES[:5])))
+
 
+@query(f"""SELECT CASE WHEN before >= 0.3 AND label = 0 THEN 'fixed_fp' WHEN before < 0.3 AND label = 1 THEN 'fixed_fn' WHEN after >= 0.3 AND label = 0 THEN 'new_fp' ELSE 'new_fn' END AS kind, source1_entity_id, candidate_entity_id, before, after
+FROM (SELECT a.source1_entity_id, a.candidate_entity_id, a.label, a.probability AS before, b.probability AS after FROM sc a JOIN ({_SC2}) b USING (source1_entity_id, candidate_entity_id)) WHERE (before >= 0.3) <> (after >= 0.3)""")
+def k_changed_errors(spark, sf_dir):
+    return metrics.changed_errors(fx.scored(spark, sf_dir), _second(spark, sf_dir), 0.3)
 
-@query(f"SELECT threshold, count_if(singleton_prob >= threshold)::BIGINT AS gated, count_if(singleton_prob >= threshold AND is_singleton = 1)::BIGINT AS \"right\", count_if(singleton_prob >= threshold AND is_singleton = 0)::BIGINT AS wrong FROM st, {_levels_sql(GATES)} GROUP BY threshold")
+
+@query(f"""WITH pe AS MATERIALIZED (SELECT source1_entity_id, sum(label) AS t, count_if(probability >= 0.5) AS s, count_if(probability >= 0.5 AND label = 1) AS h FROM sc GROUP BY 1),
+g AS (SELECT threshold, count_if(singleton_prob >= threshold)::BIGINT AS gated, count_if(singleton_prob >= threshold AND is_singleton = 1)::BIGINT AS "right", count_if(singleton_prob >= threshold AND is_singleton = 0)::BIGINT AS wrong FROM st, {_levels_sql(GATES)} GROUP BY threshold),
+b AS (SELECT threshold, round(avg({_F05}), 6) AS base_macro_f05 FROM pe, {_levels_sql(GATES)} GROUP BY threshold),
+c AS (SELECT threshold, round(avg({_F05}), 6) AS gated_macro_f05 FROM (SELECT threshold, t, CASE WHEN singleton_prob >= threshold THEN 0 ELSE s END AS s, CASE WHEN singleton_prob >= threshold THEN 0 ELSE h END AS h FROM pe JOIN st USING (source1_entity_id), {_levels_sql(GATES)}) GROUP BY threshold)
+SELECT * FROM g JOIN b USING (threshold) JOIN c USING (threshold)""")
 def k_gate_sweep(spark, sf_dir):
-    return metrics.gate_sweep(fx.gate(spark, sf_dir), metrics.thresholds(spark, GATES))
+    return _rounded(metrics.gate_sweep(fx.gate(spark, sf_dir), metrics.thresholds(spark, GATES), fx.scored(spark, sf_dir)))
 
 
-@query(f"""SELECT *, {_PRF} FROM (SELECT threshold, sum(h)::BIGINT AS tp, (sum(s) - sum(h))::BIGINT AS fp, (sum(t) - sum(h))::BIGINT AS fn, sum(removed)::BIGINT AS removed, round(avg({_F05}), 6) AS macro_f05 FROM (
+@query(f"""SELECT *, threshold = first_value(threshold) OVER (ORDER BY macro_f05 DESC, threshold) AS is_best FROM (SELECT *, {_PRF} FROM (SELECT threshold, sum(h)::BIGINT AS tp, (sum(s) - sum(h))::BIGINT AS fp, (sum(t) - sum(h))::BIGINT AS fn, sum(removed)::BIGINT AS removed, round(avg({_F05}), 6) AS macro_f05 FROM (
   SELECT threshold, source1_entity_id, sum(label) AS t, count_if(probability >= threshold AND uniqueness_decision) AS s, count_if(probability >= threshold AND uniqueness_decision AND label = 1) AS h, count_if(probability >= threshold AND NOT uniqueness_decision) AS removed
-  FROM own, {_levels_sql(GRID)} GROUP BY ALL) GROUP BY threshold)""")
+  FROM own, {_levels_sql(GRID)} GROUP BY ALL) GROUP BY threshold) JOIN (SELECT threshold, count_if(n > 1)::BIGINT AS conflicts FROM (SELECT threshold, count_if(probability >= threshold) AS n FROM sc, {_levels_sql(GRID)} GROUP BY threshold, candidate_entity_id) GROUP BY threshold) USING (threshold)) ORDER BY threshold""")
 def k_match_sweep(spark, sf_dir):
     return _rounded(metrics.match_sweep(fx.scored(spark, sf_dir), metrics.thresholds(spark, GRID)))
 
@@ -496,6 +660,11 @@ def k_name_profile(spark, sf_dir):
     return _rounded(profile.names(fx.records(spark, sf_dir)))
 
 
+@query("SELECT source, place::INTEGER AS place, business_name, rows FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rows DESC, business_name) AS place FROM (SELECT source, business_name, count(*) AS rows FROM rec WHERE business_name IS NOT NULL GROUP BY source, business_name)) WHERE place <= 3")
+def k_top_names(spark, sf_dir):
+    return profile.top_names(fx.records(spark, sf_dir))
+
+
 @query("SELECT country, count(*) AS n FROM rec GROUP BY country ORDER BY n DESC, country NULLS FIRST LIMIT 3")
 def k_top_countries(spark, sf_dir):
     return profile.top_values(fx.records(spark, sf_dir), "country")
@@ -511,6 +680,16 @@ def k_truth_sizes(spark, sf_dir):
     return profile.truth_sizes(fx.spine(spark, sf_dir), fx.truth(spark, sf_dir))
 
 
+@query("SELECT count(*) AS sources, count_if(n = 0)::BIGINT AS singletons, round(100 * avg((n = 0)::INTEGER), 6) AS percent_singletons, round(avg(n), 6) AS mean_matches, quantile_cont(n, 0.5)::DOUBLE AS median_matches, max(n) AS most_matches FROM (SELECT source1_entity_id, count(gt.candidate_entity_id) AS n FROM spine LEFT JOIN gt USING (source1_entity_id) GROUP BY 1)")
+def k_truth_summary(spark, sf_dir):
+    return _rounded(profile.truth_summary(fx.spine(spark, sf_dir), fx.truth(spark, sf_dir)))
+
+
+@query("SELECT count(DISTINCT business_name) AS raw_values, count(DISTINCT name_n) AS normal_forms, round(100e0 * (count(DISTINCT business_name) - count(DISTINCT name_n)) / count(DISTINCT business_name), 6) AS percent_merged, (SELECT count(*) FROM (SELECT name_n FROM norm WHERE business_name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT business_name) > 1)) AS groups FROM norm WHERE business_name IS NOT NULL")
+def k_collision_summary(spark, sf_dir):
+    return _rounded(profile.collision_summary(fx.records(spark, sf_dir), "business_name", "business_name_normalized"))
+
+
 @query("SELECT name_n AS normal, count(DISTINCT business_name) AS raws FROM norm GROUP BY 1 HAVING count(DISTINCT business_name) > 1")
 def k_collisions(spark, sf_dir):
     return profile.collisions(fx.records(spark, sf_dir), "business_name", "business_name_normalized")
@@ -553,6 +732,44 @@ def l_problems(spark, sf_dir):
     return validate.report(validate.problems(rows, required, valid))
 
 
+_HEADER = "source1_entity_id\tmatched_entity_ids"
+
+
+@query("SELECT * FROM (VALUES ('absent', 1, 'file', 1::BIGINT, 'FILE does not exist'), ('empty', 1, 'file', 1, 'the file is empty'), ('commas', 1, 'file', 1, 'the header is separated by commas'), ('other', 1, 'file', 1, 'the header is not source1_entity_id, matched_entity_ids'), ('bytes', 1, 'not_utf8', 1, 'S1-1' || chr(9) || 'S2-' || chr(65533)), ('whole', 0, NULL, NULL, NULL)) AS v(file, code, rule, total, examples)")
+def l_files(spark, sf_dir):
+    """Exit code and report of six files: one that is absent, four that are wrong, and the result of the whole run."""
+    made, base = [], new_path(spark, "files")
+    results = b_matching_results(spark, sf_dir)
+    files = {"absent": None, "empty": [], "commas": ["source1_entity_id,matched_entity_ids"], "other": ["id\tids"], "bytes": [_HEADER, b"S1-1\tS2-\xff"]}
+    for name, lines in files.items():
+        path = f"{base}/{name}"
+        if lines is not None:
+            rows = [(x.encode() if isinstance(x, str) else x,) for x in lines]
+            spark.createDataFrame(rows, "value binary").coalesce(1).select(F.expr("cast(value AS string)").alias("value")).write.text(path)
+        code, report = validate.check_file(spark, path, _HEADER)
+        made.append(report.select(F.lit(name).alias("file"), F.lit(code).alias("code"), "rule", "total", F.replace("examples", F.lit(path), F.lit("FILE")).alias("examples")))
+    tables.write_tsv(results, f"{base}/whole")
+    code, report = validate.check_file(spark, f"{base}/whole", _HEADER, fx.sources(spark, sf_dir), fx.targets(spark, sf_dir))
+    made.append(spark.createDataFrame([("whole", code)], "file string, code int").crossJoin(spark.range(1).select()).join(report.select(F.lit("whole").alias("file"), "rule", "total", "examples"), "file", "left"))
+    out = made[0]
+    for part in made[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("""WITH bad AS (SELECT source1_entity_id, row_number() OVER (ORDER BY source1_entity_id) AS n FROM spine)
+SELECT 'bad_prefix' AS rule, count(*) AS total, string_agg(DISTINCT 'X-1') AS examples FROM bad WHERE n % 5 = 0 UNION ALL SELECT 'no_tab', count(*), (SELECT string_agg(source1_entity_id, ',' ORDER BY source1_entity_id) FROM (SELECT source1_entity_id FROM bad WHERE n % 5 = 1 ORDER BY 1 LIMIT 5)) FROM bad WHERE n % 5 = 1
+UNION ALL SELECT 'missing_source', count(*), (SELECT string_agg(source1_entity_id, ',' ORDER BY source1_entity_id) FROM (SELECT source1_entity_id FROM bad WHERE n % 5 = 1 ORDER BY 1 LIMIT 5)) FROM bad WHERE n % 5 = 1
+UNION ALL SELECT 'duplicate_row', count(*), (SELECT string_agg(source1_entity_id, ',' ORDER BY source1_entity_id) FROM (SELECT source1_entity_id FROM bad WHERE n % 5 = 2 ORDER BY 1 LIMIT 5)) FROM bad WHERE n % 5 = 2""")
+def l_table_problems(spark, sf_dir):
+    """A result table of all sources, of which every fifth line is broken in one of three ways."""
+    n = F.row_number().over(Window.orderBy("source1_entity_id")) % 5
+    line = F.when(F.col("n") == 0, F.concat("source1_entity_id", F.lit("\tX-1"))).when(F.col("n") == 1, F.col("source1_entity_id")).otherwise(F.concat("source1_entity_id", F.lit("\t")))
+    lines = fx.spine(spark, sf_dir).withColumn("n", n).select("n", line.alias("value"))
+    lines = lines.select("value").union(lines.where("n = 2").select("value"))
+    return validate.report(validate.problems(validate.parse(lines), fx.sources(spark, sf_dir), fx.targets(spark, sf_dir)))
+
+
 @query("SELECT source1_entity_id, candidate_entity_id AS id FROM fin ANTI JOIN by_token USING (source1_entity_id, candidate_entity_id)")
 def l_not_candidates(spark, sf_dir):
     def lines(df: DataFrame, ids: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Readers and writers: record TSV, candidate and match lists, Parquet, JSON, vectors."""
+"""Readers and writers: record TSV and CSV, candidate and match lists, Parquet, JSON, models."""
 
 from __future__ import annotations
 
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,21 @@ MISSING = ("", "NA", "N/A", "NULL", "null", "None", "nan", "NaN", "n/a")
 
 
 def read_records(spark: SparkSession, path: str, schema: str = RECORD, sep: str = "\t", first: int | None = None, missing: tuple[str, ...] = MISSING) -> DataFrame:
-    """A delimited record file, all strings; ``first`` takes that many rows in order of the first column."""
+    """A delimited record file, all strings; ``first`` takes that many rows from the beginning of the file."""
     df = spark.read.schema(schema).option("sep", sep).option("header", True).option("escape", '"').csv(path)
-    df = df.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in df.columns])
-    return df if first is None else df.orderBy(df.columns[0]).limit(first)
+    if first is not None:
+        # The best of each task by place in the file, then the best of those: no sort of the file.
+        at = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n"))
+        df = at.orderBy("_f", "_b", "_n").limit(first).drop("_f", "_b", "_n")
+    return df.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in df.columns])
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def in_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """df with chunk: the rows in stretches of ``size`` values of an integer key. One scan serves all chunks."""
+    return df.withColumn("chunk", F.floor(F.col(key) / size))
+
+
+def there(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -27,14 +36,14 @@ def _there(spark: SparkSession, path: str) -> bool:
 def read_either(spark: SparkSession, stem: str, schema: str = RECORD) -> DataFrame:
     """stem.csv if there is one, else stem.tsv; an error names both if neither is."""
     for end, sep in ((".csv", ","), (".tsv", "\t")):
-        if _there(spark, stem + end):
+        if there(spark, stem + end):
             return read_records(spark, stem + end, schema, sep)
     raise FileNotFoundError(f"neither {stem}.csv nor {stem}.tsv")
 
 
 def require(spark: SparkSession, *paths: str) -> None:
     """An error that lists those of the paths that do not exist."""
-    missing = [p for p in paths if not _there(spark, p)]
+    missing = [p for p in paths if not there(spark, p)]
     if missing:
         raise FileNotFoundError(", ".join(missing))
 
@@ -58,9 +67,35 @@ def roll_up(spine: DataFrame, pairs: DataFrame, ids: str = "matched_entity_ids")
     return every.join(lists, "source1_entity_id", "left").select("source1_entity_id", F.coalesce(ids, F.lit("")).alias(ids))
 
 
+def write_parquet(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet, read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report as one CSV file with a header, in a folder; a report is small by nature."""
+    df.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def load_model(spark: SparkSession, *paths: str) -> tuple[PipelineModel, list[str]]:
+    """The first model there is among the paths, and its feature names in order; an error lists all paths if none is."""
+    found = next((p for p in paths if there(spark, f"{p}/features") and there(spark, f"{p}/model")), None)
+    if found is None:
+        raise FileNotFoundError(", ".join(paths))
+    return PipelineModel.load(f"{found}/model"), read_json(spark, f"{found}/features")["features"]
+
+
+def save_model(spark: SparkSession, model: PipelineModel, features: list[str], path: str) -> None:
+    """The model and, beside it, the order of its features."""
+    model.write().save(f"{path}/model")
+    write_json(spark, {"features": features}, f"{path}/features")
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    """A folder with one sorted, unquoted TSV file with a header; empty cells stay bare."""
-    df.orderBy(df.columns[0]).coalesce(1).write.option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "").csv(path)
+    """A folder of unquoted TSV files with a header each, sorted by the first column from file to file; empty cells stay bare."""
+    plain = {"sep": "\t", "header": True, "emptyValue": "", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.orderBy(df.columns[0]).write.options(**plain).csv(path)
 
 
 def write_empty_results(spine: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ def test_round_trip(spark, tmp_path):
     (tmp_path / "s1.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-2\tNA\t\tUS\nS1-1\tAcme\t1 Rd\tUS\n")
     df = tables.read_either(spark, str(tmp_path / "s1"))
     assert [tuple(r) for r in df.orderBy("entity_id").collect()] == [("S1-1", "Acme", "1 Rd", "US"), ("S1-2", None, None, "US")]
-    assert tables.read_records(spark, str(tmp_path / "s1.tsv"), first=1).first().entity_id == "S1-1"
+    assert tables.read_records(spark, str(tmp_path / "s1.tsv"), first=1).first().entity_id == "S1-2"
     assert {r.entity_id for r in tables.read_ids(spark, str(tmp_path / "s1.tsv")).collect()} == {"S1-1", "S1-2"}
     pairs = spark.createDataFrame([("S1-1", "S3-2"), ("S1-1", "S2-1"), ("S1-1", "S2-1")], "source1_entity_id string, candidate_entity_id string")
     rolled = tables.roll_up(df.withColumnRenamed("entity_id", "source1_entity_id"), pairs)
