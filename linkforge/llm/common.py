@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from linkforge.sources.scratch import delete_at_exit, shared_dir
+
 U64 = np.uint64
 #: White space between words: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,25 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="linkforge-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    ``narrow`` is for rows of a few numbers: they are gathered in an eighth of the files.
+    ``narrow`` is for rows of a few numbers: they are gathered in an eighth of the files. The files go
+    when the driver ends, if :func:`drop_table` hasn't taken them before.
     """
     spark = df.sparkSession
     if narrow:
         df = df.repartition(max(1, partitions(spark) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

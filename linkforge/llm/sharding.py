@@ -9,20 +9,22 @@ from linkforge.llm.common import materialize
 
 #: Prefix bits that one reading of the hashes resolves; its directory has 2**16 entries at most.
 STEP_BITS, STEPS = 16, 2
+#: Limits of bytes that one running sum goes over.
+SPLIT = 1000
 
 
 def directory(sizes: DataFrame, limit: int, step: int) -> DataFrame:
-    """For sizes(prefix, bits, bytes), bits of STEP_BITS in this step: (prefix, bits, depth, done).
+    """For sizes(prefix, bits, bytes), bits of STEP_BITS in this step: (prefix, bits, depth, done, bytes).
 
     depth is the number of bits in this step at which the bucket of these bits first fits the limit,
-    or STEP_BITS where it doesn't fit even then (done false, unless it holds one key only).
+    or STEP_BITS where it doesn't fit even then (done false). bytes is what the bits hold.
     """
     levels = F.explode(F.sequence(F.lit(0 if step == 0 else 1), F.lit(STEP_BITS)))
     cells = sizes.groupBy("prefix", "bits").agg(F.sum("bytes").alias("bytes"))
-    by_level = cells.withColumn("depth", levels).withColumn("head", F.expr(f"shiftright(bits, {STEP_BITS} - depth)"))
-    sums = by_level.groupBy("prefix", "depth", "head").agg(F.sum("bytes").alias("bytes"))
-    fits = by_level.select("prefix", "bits", "depth", "head").join(sums, ["prefix", "depth", "head"])
-    return fits.groupBy("prefix", "bits").agg(F.min(F.when(F.col("bytes") <= limit, F.col("depth"))).alias("fit")).select("prefix", "bits", F.coalesce("fit", F.lit(STEP_BITS)).alias("depth"), F.col("fit").isNotNull().alias("done"))
+    by_level = cells.withColumnRenamed("bytes", "own").withColumn("depth", levels).withColumn("head", F.expr(f"shiftright(bits, {STEP_BITS} - depth)"))
+    sums = by_level.groupBy("prefix", "depth", "head").agg(F.sum("own").alias("bytes"))
+    fits = by_level.select("prefix", "bits", "depth", "head", "own").join(sums, ["prefix", "depth", "head"])
+    return fits.groupBy("prefix", "bits").agg(F.min(F.when(F.col("bytes") <= limit, F.col("depth"))).alias("fit"), F.max("own").alias("own")).select("prefix", "bits", F.coalesce("fit", F.lit(STEP_BITS)).alias("depth"), F.col("fit").isNotNull().alias("done"), F.col("own").alias("bytes"))
 
 
 def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
@@ -49,7 +51,7 @@ def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
         down = STEP_BITS * (STEPS - 1 - step)
         bits = F.shiftright("_key", down).bitwiseAND((1 << STEP_BITS) - 1)
         cells = materialize(directory(left.select("prefix", bits.alias("bits"), F.col("n_bytes").alias("bytes")), limit, step), "directory", narrow=True)
-        entries = cells.select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "depth", "done")
+        entries = cells.select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "depth", "done", F.col("bytes").alias("_bytes"))
         if step == 0:
             entries = F.broadcast(entries)  # 2**16 rows at most
         placed = open_.withColumn("_bits", bits).join(entries, ["_prefix", "_bits"])
@@ -57,6 +59,8 @@ def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
         placed = placed.withColumn("shard", spelled).withColumn("depth", F.col("depth") + step * STEP_BITS)
         done_parts.append(placed.where("done").select(*names, "n_bytes", "depth", "shard"))
         open_ = placed.where("not done").withColumn("_prefix", F.col("shard")).drop("_bits", "depth", "done", "shard")
+        if step + 1 < STEPS:
+            open_ = open_.drop("_bytes")
         over = cells.where("not done").select("prefix", "bits")
         if over.limit(1).count() == 0:
             open_ = None
@@ -69,9 +73,11 @@ def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
         # Rows of half the limit or less fill parts of half the limit, over by one row at most; larger rows stand alone.
         half = limit // 2
         big = F.col("n_bytes") > half
-        run = Window.partitionBy("_prefix", big).orderBy("text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # A group of more than SPLIT limits (a third of all rows may be equal) is first dealt to as many runs.
+        open_ = open_.withColumn("_run", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_bytes") / (SPLIT * limit))))
+        run = Window.partitionBy("_prefix", "_run", big).orderBy("text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         part = F.when(big, F.count(F.lit(1)).over(run)).otherwise(F.floor(F.sum("n_bytes").over(run) / F.lit(max(1, half))))
-        cut = open_.withColumn("shard", F.concat("_prefix", F.when(big, F.lit("+b")).otherwise(F.lit("+s")), part.cast("string"))).withColumn("depth", F.lit(STEPS * STEP_BITS))
+        cut = open_.withColumn("shard", F.concat("_prefix", F.when(big, F.lit("+b")).otherwise(F.lit("+s")), F.when(F.col("_run") > 0, F.concat(F.col("_run").cast("string"), F.lit("."))).otherwise(F.lit("")), part.cast("string"))).withColumn("depth", F.lit(STEPS * STEP_BITS))
         out = out.unionByName(cut.select(*names, "n_bytes", "depth", "shard"))
     return out
 
