@@ -26,10 +26,10 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs and its columns row_hash and row_no (together with doc_id they name a row) and size, the words of the text."""
+    """doc_id, row_hash and row_no (together they name a row), size, the words of the text, and doc, the whole row of docs."""
     w = Window.partitionBy("doc_id", "row_hash").orderBy(F.lit(1))
-    d = docs.withColumn("row_hash", F.xxhash64("text", "source"))
-    return d.withColumn("row_no", F.row_number().over(w)).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    d = docs.select("doc_id", F.xxhash64("text", "source").alias("row_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.struct(*docs.columns).alias("doc"))
+    return d.withColumn("row_no", F.row_number().over(w))
 
 
 def targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -155,10 +155,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     runs = pieces.groupBy("doc_id", "row_hash", "row_no", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("runs"), F.sum("words").alias("taken"))
     keyed = sized(docs)
     both = joined(keyed, runs, "inner")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("all_words", (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
     both = both.withColumn("all_words", F.when(F.col("taken") < F.col("size"), words))
-    both = both.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
+    both = both.withColumn("new_text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("doc.text")))
+    made = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+        made["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

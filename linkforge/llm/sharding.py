@@ -51,14 +51,14 @@ def shards(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
         down = STEP_BITS * (STEPS - 1 - step)
         bits = F.shiftright("_key", down).bitwiseAND((1 << STEP_BITS) - 1)
         cells = materialize(directory(left.select("prefix", bits.alias("bits"), F.col("n_bytes").alias("bytes")), limit, step), "directory", narrow=True)
-        entries = cells.select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "depth", "done", F.col("bytes").alias("_bytes"))
+        entries = cells.select(F.col("prefix").alias("_prefix"), F.col("bits").alias("_bits"), "depth", F.col("done").alias("_done"), F.col("bytes").alias("_bytes"))
         if step == 0:
             entries = F.broadcast(entries)  # 2**16 rows at most
         placed = open_.withColumn("_bits", bits).join(entries, ["_prefix", "_bits"])
         spelled = F.concat("_prefix", F.substring(F.lpad(F.bin("_bits"), STEP_BITS, "0"), F.lit(1), F.col("depth").cast("int")))
         placed = placed.withColumn("shard", spelled).withColumn("depth", F.col("depth") + step * STEP_BITS)
-        done_parts.append(placed.where("done").select(*names, "n_bytes", "depth", "shard"))
-        open_ = placed.where("not done").withColumn("_prefix", F.col("shard")).drop("_bits", "depth", "done", "shard")
+        done_parts.append(placed.where("_done").select(*names, "n_bytes", "depth", "shard"))
+        open_ = placed.where("not _done").withColumn("_prefix", F.col("shard")).drop("_bits", "depth", "_done", "shard")
         if step + 1 < STEPS:
             open_ = open_.drop("_bytes")
         over = cells.where("not done").select("prefix", "bits")

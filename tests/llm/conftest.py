@@ -1,11 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, place int, bands string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, place int, bands string, done string, prefix string"
 
 
 def extra(rows):
     """Rows (doc_id, text, lang, source) with columns whose names operators use themselves."""
-    return [(i, t, lang, s, None if t is None else len(t), 1, "x", 2, "y") for i, t, lang, s in rows]
+    return [(i, t, lang, s, None if t is None else len(t), 1, "x", 2, "y", "no", "p") for i, t, lang, s in rows]
 
 
 @pytest.fixture(scope="session")

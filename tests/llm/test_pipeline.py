@@ -44,7 +44,7 @@ def test_run_of_awkward_rows(spark, tmp_path, documents, awkward, sf_dir):
     """Nulls, empty and long texts, repeated rows, a null id and columns with names the stages use, beside documents to learn from."""
     from pyspark.sql import functions as F
 
-    more = documents.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), F.lit(1).alias("shard"), F.lit("x").alias("size"), F.lit(2).alias("place"), F.lit("y").alias("bands"))
+    more = documents.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), F.lit(1).alias("shard"), F.lit("x").alias("size"), F.lit(2).alias("place"), F.lit("y").alias("bands"), F.lit("no").alias("done"), F.lit("p").alias("prefix"))
     awkward.withColumn("doc_id", F.col("doc_id") + 10**6).unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -52,7 +52,7 @@ def test_run_of_awkward_rows(spark, tmp_path, documents, awkward, sf_dir):
     far = {i for i in ids if i is None or i > 500_000}
     # Texts without a letter go, of equal texts the smallest id stays; the long text is no language that is known here.
     assert not far & {10**6 + i for i in (1, 2, 3, 6, 12)} and all(r.text for r in rows)
-    assert {r["size"] for r in rows} == {"x"} and all(isinstance(r.shard, str) for r in rows)
+    assert {(r["size"], r.place, r.bands, r.done, r.prefix) for r in rows} == {("x", 2, "y", "no", "p")} and all(isinstance(r.shard, str) for r in rows)
 
 
 def test_run_of_nothing(spark, tmp_path, documents, sf_dir):
