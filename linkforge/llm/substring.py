@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import U64, Words, chunks, materialize, partitions, slices
+from linkforge.llm.common import U64, Words, chunks, materialize, mix64, partitions, slices
 
 WINDOW = 50
 #: Every window of 50 words holds a whole reference block of 25, wherever blocks begin.
@@ -105,7 +105,9 @@ _TOLD = np.iinfo(np.int64).min
 
 
 def _shared(bucket, key, doc, mark):
-    """Entries whose key stands in two documents and is a reference block in one of them are hits.
+    """Reference blocks whose key stands in another document too are hits.
+
+    A window that two documents share holds a block of either of them, and each learns of its own.
 
     Of a key with hits one entry stays, under the id _TOLD, so that later entries of it are hits at once.
     """
@@ -115,7 +117,7 @@ def _shared(bucket, key, doc, mark):
     group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
     last = np.append(heads[1:], len(key)) - 1
     hit = (doc[heads] == _TOLD) | ((doc[heads] != doc[last]) & np.logical_or.reduceat(mark, heads))
-    out = hit[group] & (doc != _TOLD)
+    out = hit[group] & mark & (doc != _TOLD)
     value = key[out].astype(np.int64) | (np.int64(bucket) << np.int64(32))
     stay = ~hit[group]
     told = key[heads[hit]]
@@ -162,7 +164,8 @@ def _runs(buckets: int):
                     words = Words([text])
                     h, at = words.windows(BLOCK)
                     bucket, low = _parts(h, buckets)
-                    hits = at[np.isin(low.astype(np.int64) | (bucket << 32), np.frombuffer(b"".join(found), "<i8"))]
+                    own = at % BLOCK == 0
+                    hits = at[own][np.isin((low.astype(np.int64) | (bucket << 32))[own], np.frombuffer(b"".join(found), "<i8"))]
                     last = len(words.hash) - WINDOW
                     if len(hits) and last >= 0:
                         near = np.zeros(last + 2, np.int64)
@@ -187,18 +190,29 @@ def _in_runs(runs: list[int], n: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(on)[:n])
 
 
+def _anchors(text: str, first: np.ndarray) -> np.ndarray:
+    """For each window that begins there the least hash of the 25-word runs in it.
+
+    Equal windows have equal anchors, and so have most windows that follow one another: a document's
+    windows go to few buckets, and what is found of them comes back in few rows, however many buckets there are.
+    """
+    h, _ = Words([text]).windows(BLOCK)
+    return mix64(np.lib.stride_tricks.sliding_window_view(h, WINDOW - BLOCK + 1).min(1)[first]) if len(first) else np.empty(0, U64)
+
+
 def _windows(buckets: int):
     def run(batches):
         for batch in slices(batches, 64):
             ids, texts, runs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
-                key, text = [np.empty(0, DIGEST)], [np.empty(0, np.int64)]
+                key, text, anchor = [np.empty(0, DIGEST)], [np.empty(0, np.int64)], [np.empty(0, U64)]
                 for i in range(a, b):
                     words = _raw(texts[i])
-                    key.append(_digests(words, _in_runs(runs[i], len(words))))
+                    first = _in_runs(runs[i], len(words))
+                    key.append(_digests(words, first))
+                    anchor.append(_anchors(texts[i], first))
                     text.append(np.full(len(key[-1]), i - a))
-                key, text = np.concatenate(key), np.concatenate(text)
-                yield _pack(ids[a:b], text, _parts(key["high"], buckets)[0], key, None)
+                yield _pack(ids[a:b], np.concatenate(text), _parts(np.concatenate(anchor), buckets)[0], np.concatenate(key), None)
     return run
 
 
@@ -234,17 +248,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     one space, for documents that lose words, else null (all words stay).
 
     1. Index: the non-overlapping blocks of 25 words of each document. Probe: every rolling 25 words.
-       Both meet by hash in buckets as packed arrays, each hash once per document; a hash that stands in
-       two documents and is a block of one is a hit for all documents that hold it.
+       Both meet by hash in buckets as packed arrays, each hash once per document; a block whose hash
+       stands in another document too is a hit.
     2. Each document extends its hits to runs of windows of 50 words; documents without hits are done.
     3. The windows of the runs, which are the repeats at full length, meet by a 128-bit digest of their
-       words (blake2b, not the hash that chose the candidates); all but those of the smallest document
+       words (blake2b, not the hash that chose the candidates), in buckets by an anchor in the window; all but those of the smallest document
        go back to their documents, which drop the covered words.
 
     A bucket task keeps one entry of a hash that many documents share, and no pairs are formed. Buckets
     are as many as the bytes of text ask for, so a task's memory is the same at every size, and time is
     in proportion however many documents share a passage. A document's hits come back in one row from
-    each bucket that has some: with more buckets more rows, up to one for each hit. Null and empty texts have no
+    each bucket that has some, at most one for each 25 words and one for each anchor. Null and empty texts have no
     words. Rows of one doc_id are one document to others, and each row is cut by itself; rows with a
     null doc_id neither lose words nor make others lose any. Other columns are ignored; empty: empty.
     """
