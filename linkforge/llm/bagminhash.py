@@ -22,37 +22,55 @@ CELL = 256
 _TO_UNIT = 2.0**-53
 
 
+def _later(time: np.ndarray, state: np.ndarray, rate: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Times of the next points of Poisson processes, and the states that drew them."""
+    state = mix64(state + U64(0x632BE59BD9B4E019))
+    return time - np.log1p(-(state >> U64(11)).astype(np.float64) * _TO_UNIT) / rate, state
+
+
 def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n_texts: int, m: int = REGISTERS) -> np.ndarray:
     """BagMinHash: for each text, m register values of its weighted set (0 where the set is empty).
 
-    The weight axis is cut into the dyadic cells [0,1), [1,2), [2,4), [4,8), ...; every (element, cell)
-    carries its own Poisson process whose points have a time, a register and a height inside the cell.
-    A text sees the points below its weight, and each register keeps the first. Two texts agree in a
-    register with the probability of their weighted Jaccard similarity. Processes go on only while a
-    point can still be first somewhere, which is after about n + m log m points.
+    The weight axis is cut into the dyadic cells [0,1), [1,2), [2,4), [4,8), ...; every (element, cell) is
+    the root of a hierarchy of Poisson processes. A process wider than 1 splits at its first point: the half
+    with the point keeps it, the other half goes on from that time with a process of its own, and a half
+    that begins at or above the weight is left out. A point that has come down to width 1 counts for a
+    register, each of which keeps its first. What is drawn depends on element and path only, so two texts
+    agree in a register with the probability of their weighted Jaccard similarity. Processes go on only
+    while a point can still be first somewhere.
     """
     cells = [(text, element, np.zeros(len(text), np.int64), weight)]
-    low = 1
+    edge = 1
     while True:
-        over = weight > low
+        over = weight > edge
         if not over.any():
             break
-        cells.append((text[over], element[over], np.full(int(over.sum()), low, np.int64), weight[over]))
-        low *= 2
-    doc, element, low_edge, weight = (np.concatenate(x) for x in zip(*cells, strict=True))
-    width = np.maximum(low_edge, 1)
-    state = mix64(element ^ mix64(low_edge.astype(U64) + U64(0x51ED27)))
-    time = np.zeros(len(doc))
+        cells.append((text[over], element[over], np.full(int(over.sum()), edge, np.int64), weight[over]))
+        edge *= 2
+    doc, element, low, weight = (np.concatenate(x) for x in zip(*cells, strict=True))
+    width = np.maximum(low, 1)
+    time, state = _later(np.zeros(len(doc)), mix64(element ^ mix64(low.astype(U64) + U64(0x51ED27))), m * width)
     first = np.full(n_texts * m, np.inf)
     while len(doc):
-        state = mix64(state + U64(0x632BE59BD9B4E019))
-        time = time - np.log1p(-(state >> U64(11)).astype(np.float64) * _TO_UNIT) / (m * width)
-        other = mix64(state ^ U64(0x8CB92BA72F3D8DD7))
-        register = ((other >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
-        seen = low_edge + ((other & U64(0xFFFFFFFF)) * width.astype(U64) >> U64(32)).astype(np.int64) < weight
-        np.minimum.at(first, doc[seen] * m + register[seen], time[seen])
-        on = time < first.reshape(n_texts, m).max(1)[doc]
-        doc, low_edge, width, weight, state, time = (x[on] for x in (doc, low_edge, width, weight, state, time))
+        draw = mix64(state ^ U64(0x8CB92BA72F3D8DD7))
+        leaf = width == 1
+        register = ((draw[leaf] >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
+        np.minimum.at(first, doc[leaf] * m + register, time[leaf])
+        after, onward = _later(time[leaf], state[leaf], float(m))
+        if leaf.all():
+            time, state = after, onward
+        else:
+            node = ~leaf
+            half = width[node] // 2
+            upper = (draw[node] & U64(1)).astype(np.int64) * half
+            held = mix64(state[node] ^ U64(0x2545F4914F6CDD1D))
+            free_time, free = _later(time[node], mix64(state[node] ^ U64(0x9E6C63D0876A9A47)), m * half)
+            time, state = np.concatenate([after, time[node], free_time]), np.concatenate([onward, held, free])
+            low = np.concatenate([low[leaf], low[node] + upper, low[node] + half - upper])
+            width = np.concatenate([width[leaf], half, half])
+            doc, weight = (np.concatenate([x[leaf], x[node], x[node]]) for x in (doc, weight))
+        on = (low < weight) & (time < first.reshape(n_texts, m).max(1)[doc])
+        doc, low, width, weight, state, time = (x[on] for x in (doc, low, width, weight, state, time))
     out = mix64(first.view(U64)).reshape(n_texts, m)
     out[np.isinf(first.reshape(n_texts, m)[:, 0])] = 0
     return out
