@@ -30,7 +30,7 @@ def train_matcher(train: DataFrame, features: list[str], trees: int = 100, held_
 
     Every level of every tree is a small job, so the rows stand in few partitions of TRAIN_ROWS each.
     """
-    train = train.coalesce(-(-train.count() // TRAIN_ROWS) or 1).persist()
+    train = train.select(*features, "label", *([held_out] if held_out else [])).coalesce(-(-train.count() // TRAIN_ROWS) or 1).persist()
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     if held_out:
         gbt = gbt.setValidationIndicatorCol(held_out)

@@ -225,7 +225,7 @@ def g_set_operations(spark, sf_dir):
 
 @query("SELECT source1_entity_id, candidate_entity_id, candidate_source, label FROM feat")
 def g_labelled_pairs(spark, sf_dir):
-    return fx.features(spark, sf_dir).select(*PAIR, "candidate_source", "label")
+    return fx.labelled(spark, sf_dir).select(*PAIR, "candidate_source", "label")
 
 
 # Features (H)

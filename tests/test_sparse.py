@@ -97,3 +97,13 @@ def test_pairs_that_share_a_key_are_not_shuffled(spark):
 
     visit(plan)
     assert written and max(written) < 10_000, written
+
+
+def test_features_are_not_shuffled_or_kept(spark, sf_dir):
+    """Labels and records are joined while pairs are narrow; scores read six of the 48 features."""
+    from linkforge.plans import fixtures
+
+    plan = fixtures.features(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and plan.index("name_token_jaccard") < plan.index(joins[0])
+    assert not fixtures.features(spark, sf_dir).is_cached
