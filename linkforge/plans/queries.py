@@ -92,7 +92,8 @@ def d_sparse_top5(spark, sf_dir):
 
 @query("SELECT 'token' AS paths, count(*) AS pairs, round(sum(score), 3) AS total FROM by_token UNION ALL SELECT 'ngram', count(*), round(sum(score), 3) FROM by_ngram UNION ALL SELECT 'all', count(*), round(sum(score), 3) FROM blocked")
 def d_path_ablation(spark, sf_dir):
-    parts = [fx.blocked(spark, sf_dir, p).agg(F.lit(n).alias("paths"), F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 3).alias("total")) for n, p in (("token", ("token",)), ("ngram", ("ngram",)), ("all", sparse.PATHS))]
+    found = fx.systems(spark, sf_dir, *fx.SYSTEMS)
+    parts = [found.where(F.col("system") == n).agg(F.lit(n).alias("paths"), F.count(F.lit(1)).alias("pairs"), F.round(F.sum("score"), 3).alias("total")) for n in fx.SYSTEMS]
     return parts[0].union(parts[1]).union(parts[2])
 
 

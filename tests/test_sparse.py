@@ -107,3 +107,17 @@ def test_features_are_not_shuffled_or_kept(spark, sf_dir):
     joins = [x for x in plan.splitlines() if "Join" in x]
     assert joins and plan.index("name_token_jaccard") < plan.index(joins[0])
     assert not fixtures.features(spark, sf_dir).is_cached
+
+
+def test_systems_in_one_pass_equal_each_alone(spark, sf_dir, monkeypatch):
+    """The lists of several systems come from one set of packed records: keys and both sides are written once."""
+    from linkforge.plans import fixtures
+
+    s, t = fixtures.sources(spark, sf_dir), fixtures.targets(spark, sf_dir)
+    written = []
+    monkeypatch.setattr(sparse, "write_parquet", lambda df, path, put=sparse.write_parquet: written.append(path) or put(df, path))
+    both = sparse.block_each(s, t, fixtures.SYSTEMS, 6).collect()
+    assert len(written) == 3
+    for name, paths in fixtures.SYSTEMS.items():
+        alone = sparse.block(s, t, 6, paths).collect()
+        assert alone and sorted(tuple(r) for r in alone) == sorted(tuple(r)[1:] for r in both if r.system == name)
