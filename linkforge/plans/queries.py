@@ -500,8 +500,7 @@ SELECT system, count(*) AS pairs, count(gt.candidate_entity_id) AS found, round(
   round(100 * (1 - count(m.source1_entity_id) / (SELECT count(DISTINCT source1_entity_id) FROM gt)::DOUBLE / (SELECT count(*) FROM tg)), 6) AS reduction
 FROM sy LEFT JOIN gt ON gt.source1_entity_id = sy.source1_entity_id AND gt.candidate_entity_id = sy.candidate_entity_id LEFT JOIN (SELECT DISTINCT source1_entity_id FROM gt) m ON m.source1_entity_id = sy.source1_entity_id GROUP BY system""")
 def k_system_comparison(spark, sf_dir):
-    named = [fx.blocked(spark, sf_dir, p).select(F.lit(n).alias("system"), *PAIR) for n, p in (("token", ("token",)), ("ngram", ("ngram",)), ("all", sparse.PATHS))]
-    return _rounded(metrics.system_comparison(fx.truth(spark, sf_dir), named[0].union(named[1]).union(named[2]), fx.targets(spark, sf_dir).count()))
+    return _rounded(metrics.system_comparison(fx.truth(spark, sf_dir), fx.systems(spark, sf_dir, *fx.SYSTEMS).select("system", *PAIR), fx.targets(spark, sf_dir).count()))
 
 
 _STRATA = "SELECT entity_id AS source1_entity_id, unnest(list_filter([concat('country ', country_normalized), CASE WHEN strlen(business_name) <> length(business_name) THEN 'non-ascii' ELSE 'ascii' END, CASE WHEN business_address IS NULL THEN 'no address' END], lambda x: x IS NOT NULL)) AS stratum FROM s1"
