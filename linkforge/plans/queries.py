@@ -172,7 +172,8 @@ _PLACED_SQL = f"SELECT *, row_number() OVER (PARTITION BY source1_entity_id ORDE
 
 
 def _union(spark, sf_dir):
-    return candidates.union(fx.blocked(spark, sf_dir, ("token",)), fx.blocked(spark, sf_dir, ("ngram",)))
+    found = fx.systems(spark, sf_dir, "token", "ngram")
+    return candidates.union(found.where("system = 'token'"), found.where("system = 'ngram'"))
 
 
 @query(_UNION_SQL)
