@@ -9,10 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.sources.scratch import new_path
+from linkforge.sources.tables import write_parquet
+
 #: Weights of the fixed scorer, which needs no training.
 WEIGHTS = {"name_char_4gram_jaccard": 6.0, "name_token_jaccard": 2.0, "name_length_ratio": 1.0, "address_char_4gram_jaccard": 3.0, "postal_match": 1.5, "country_match": 0.5}
 BIAS = -6.0
-#: Rows of a partition in training.
+#: Rows of a partition in training, and of a file that is stored for it.
 TRAIN_ROWS = 50_000
 GATE_FEATURES = ["max_prob", "mean_prob", "median_prob", "std_prob", "candidate_count", "high_prob_count", "top1_minus_top2", "top1_minus_mean"]
 
@@ -25,19 +28,25 @@ def fixed_score(features: DataFrame, weights: dict[str, float] = WEIGHTS, bias:
     return features.withColumn("probability", F.round(1 / (1 + F.exp(-z)), 6))
 
 
-def train_matcher(train: DataFrame, features: list[str], trees: int = 100, held_out: str | None = None, seed: int = 42) -> PipelineModel:
+def stored(rows: DataFrame) -> DataFrame:
+    """rows as Parquet files in the shared folder, TRAIN_ROWS in a file at most, read back."""
+    return write_parquet(rows, new_path(rows.sparkSession, "rows"), TRAIN_ROWS)
+
+
+def train_matcher(train: DataFrame, features: list[str], trees: int = 100, held_out: str | None = None, seed: int = 42, is_stored: bool = False) -> PipelineModel:
     """Boosted trees on label; with ``held_out``, a boolean column, training stops early on its rows.
 
-    Every level of every tree is a small job, so the rows stand in few partitions of TRAIN_ROWS each.
+    The rows are read several times and stored for that, unless they are. They aren't cached: the trees keep
+    the binned rows, residuals and errors in memory, and what cached rows drive out of it goes to disk, uncompressed.
+    Every level of every tree is a small job, so few rows stand in few partitions, of TRAIN_ROWS each.
     """
-    train = train.select(*features, "label", *([held_out] if held_out else [])).coalesce(-(-train.count() // TRAIN_ROWS) or 1).persist()
+    train = train.select(*features, "label", *([held_out] if held_out else []))
+    train = train if is_stored else stored(train)
+    train = train.coalesce(-(-train.count() // TRAIN_ROWS) or 1)
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=6, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     if held_out:
         gbt = gbt.setValidationIndicatorCol(held_out)
-    try:
-        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(train)
-    finally:
-        train.unpersist()
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), gbt]).fit(train)
 
 
 def train_second(scored_features: DataFrame, second: DataFrame, features: list[str], trees: int = 150, held_out: str | None = None, seed: int = 42) -> PipelineModel:

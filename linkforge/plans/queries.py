@@ -307,12 +307,12 @@ _models: dict[tuple, tuple] = {}
 def _trained(spark, sf_dir):
     """The matcher on all 45 features with the default number of trees, stopped early on the held-out sources; kept for the session."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    rows = fx.model_rows(spark, sf_dir)
     if key not in _models:
-        rows = candidates.split(fx.features(spark, sf_dir)).withColumn("held_out", ~F.col("is_train"))
-        names = feature_names(fx.features(spark, sf_dir))
-        _models[key] = model.train_matcher(rows, names, held_out="held_out"), names
+        names = feature_names(rows)
+        _models[key] = model.train_matcher(candidates.split(rows).withColumn("held_out", ~F.col("is_train")), names, held_out="held_out", is_stored=True), names
     m, names = _models[key]
-    return m, fx.features(spark, sf_dir), names
+    return m, rows, names
 
 
 @query()
@@ -333,9 +333,9 @@ def i_batch_scores(spark, sf_dir):
     except FileNotFoundError:
         refused = True
     again, order = tables.load_model(spark, f"{path}-absent", path)
-    one = model.score(m, rows.select(*PAIR, *names)).select(*PAIR, "probability")
-    two = model.score(again, rows.select(*PAIR, *order[::-1])).select(*PAIR, F.col("probability").alias("p"))
-    return one.join(two, PAIR).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("probability") != F.col("p")).alias("differing")).withColumn("refused", F.lit(refused))
+    one = model.score(m, rows.select(*PAIR, *names), "p")  # both score a row as it is read, so nothing is joined
+    two = model.score(again, one.select(*PAIR, "p", *order[::-1]))
+    return two.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("probability") != F.col("p")).alias("differing")).withColumn("refused", F.lit(refused))
 
 
 @query()

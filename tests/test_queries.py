@@ -40,3 +40,22 @@ def test_blocking_plan_has_no_cartesian_product(spark, sf_dir):
     plan = sparse.block(fixtures.sources(spark, sf_dir), fixtures.targets(spark, sf_dir))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan
     assert "html" not in plan
+
+
+def test_matcher_rows_are_not_cached(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from linkforge.operators import model
+
+    def refused(*_):
+        raise AssertionError("training rows are cached")
+
+    monkeypatch.setattr(DataFrame, "persist", refused)
+    rows = spark.range(200).selectExpr("double(id % 7) AS a", "int(id % 3) AS b", "int(id % 7 > 3) AS label", "id % 5 = 0 AS held_out")
+    m = model.train_matcher(rows, ["a", "b"], trees=2, held_out="held_out")
+    assert model.score(m, rows).where("(probability > 0.5) <> (label = 1)").count() == 0
+
+
+def test_batch_scores_make_no_feature_again(spark, sf_dir):
+    plan = queries.i_batch_scores(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "levenshtein" not in plan
