@@ -43,14 +43,12 @@ def test_blocking_plan_has_no_cartesian_product(spark, sf_dir):
 
 
 def test_matcher_rows_are_not_cached(spark, monkeypatch):
-    from pyspark.sql import DataFrame
-
     from linkforge.operators import model
 
     def refused(*_):
         raise AssertionError("training rows are cached")
 
-    monkeypatch.setattr(DataFrame, "persist", refused)
+    monkeypatch.setattr(type(spark.range(0)), "persist", refused)
     rows = spark.range(200).selectExpr("double(id % 7) AS a", "int(id % 3) AS b", "int(id % 7 > 3) AS label", "id % 5 = 0 AS held_out")
     m = model.train_matcher(rows, ["a", "b"], trees=2, held_out="held_out")
     assert model.score(m, rows).where("(probability > 0.5) <> (label = 1)").count() == 0
