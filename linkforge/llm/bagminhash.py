@@ -318,7 +318,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, rounds: int = 2) -> DataFra
     led = rows.join(_leaders(rows), "key")
     pairs = led.select(F.col("central").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("central"))
     pairs = pairs.union(led.where("key % 4 = 0").select("other", "doc_id", F.lit(False)))
-    found = materialize(verify(pairs.where("a <> b").groupBy("a", "b").agg(F.max("central").alias("central")), texts), "found")
+    found = materialize(verify(pairs.where("a <> b").groupBy("a", "b").agg(F.max("central").alias("central")), texts), "found", narrow=True)
     known = components(found.where(F.col("similarity") >= threshold).select("a", "b"))
 
     tried = found.where("bands is not null").join(known.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b", "left")

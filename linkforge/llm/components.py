@@ -18,11 +18,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.where("a is not null and b is not null")
     both = materialize(both.select("a", "b").union(both.select("b", "a")).distinct(), "links", narrow=True)
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", narrow=True)
+    most = both.count()  # a node has a link, so no table of nodes has more rows
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", narrow=True, rows=most)
     while True:
         # Both halves of a round are written: a plan that reads the first several times would repeat it as often.
-        heard = materialize(_heard(labels, both), "heard", narrow=True)
-        new = materialize(_jumped(heard), "labels", narrow=True)
+        heard = materialize(_heard(labels, both), "heard", narrow=True, rows=most)
+        new = materialize(_jumped(heard), "labels", narrow=True, rows=most)
         changed = new.where("label <> old").limit(1).count()
         drop_table(labels)
         drop_table(heard)

@@ -8,10 +8,11 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from helpers import same_rows
 
-from linkforge.llm import bagminhash, chat, components, decontam, imatch, langid, mixing, pagediff, queries, secrets, sharding, substring
+from linkforge.llm import bagminhash, chat, common, components, decontam, imatch, langid, mixing, pagediff, queries, secrets, sharding, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,6 +134,31 @@ def test_components(spark):
     assert {r.node: r["class"] for r in components.components(links).collect()} == {i: 0 for i in range(41)} | {98: 98, 99: 98, 100: 98}
 
 
+def test_tables_of_a_few_nodes_take_one_file(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(components, "drop_table", lambda df, drop=components.drop_table: (files.append((df.columns, len(df.inputFiles()))), drop(df)))
+    links = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert {r["class"] for r in components.components(links).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {n for columns, n in files if "label" in columns} == {1}
+
+
+def test_written_tables_hand_python_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    rows = spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long")
+    assert sorted(r.n for r in common.materialize(rows, "sizes").collect()) == [500, 1000, 1000, 1000]
+    assert spark.conf.get(setting) == before
+
+
 # 2: mixing
 
 
